@@ -10,11 +10,14 @@ same row, so no page is ever shuffled.
 from __future__ import annotations
 
 import re
+from functools import reduce
 from html.parser import HTMLParser
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from coverlane.functions import text
 
@@ -27,71 +30,113 @@ HREF = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 TEXT = "#text"
 HIDDEN_CLASS = "hide"
 
-ELEMENT_TYPE = "array<struct<idx:int,last:int,tag:string,attrs:map<string,string>,text:string>>"
-_ARROW_TYPE = pa.list_(pa.struct([
+ELEMENT_TYPE = T.ArrayType(T.StructType([
+    T.StructField("idx", T.IntegerType()), T.StructField("last", T.IntegerType()), T.StructField("tag", T.StringType()),
+    T.StructField("attrs", T.MapType(T.StringType(), T.StringType())), T.StructField("text", T.StringType())]))
+_ARROW_ITEM = pa.struct([
     ("idx", pa.int32()), ("last", pa.int32()), ("tag", pa.string()),
-    ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string())]))
+    ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string())])
 
 
 class _Flattener(HTMLParser):
-    """Elements in document order, each with the index of its last descendant."""
+    """Elements in document order, each with the index of its last descendant.
+
+    Pages of one batch are appended to the same columns, ready for Arrow.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.items: list[dict] = []
-        self.open: list[int] = []
-
-    def _add(self, tag: str, attrs: dict, content: str | None = None) -> None:
-        at = len(self.items)
-        self.items.append({"idx": at, "last": at, "tag": tag, "attrs": list(attrs.items()), "text": content})
-        for parent in self.open:
-            self.items[parent]["last"] = at
+        self.idx, self.last, self.tags, self.texts = [], [], [], []
+        self.attr_ends, self.names, self.values = [0], [], []
+        self.start, self.open, self.silent = 0, [], 0
+
+    def page(self, html: str) -> bool:
+        """Append one page; on failure leave the columns as they were."""
+        self.reset()
+        self.start, self.open, self.silent = len(self.tags), [], 0
+        try:
+            self.feed(html)
+            self.close()
+            self._end(0)
+            return True
+        except Exception:  # one page that cannot be parsed must not fail the batch
+            for column in (self.idx, self.last, self.tags, self.texts):
+                del column[self.start:]
+            del self.attr_ends[self.start + 1:], self.names[self.attr_ends[-1]:], self.values[self.attr_ends[-1]:]
+            return False
+
+    def _add(self, tag: str, attrs: list, content: str | None = None) -> None:
+        at = len(self.tags) - self.start
+        self.idx.append(at)
+        self.last.append(at)
+        self.tags.append(tag)
+        self.texts.append(content)
+        for name, value in dict(attrs).items():
+            self.names.append(name)
+            self.values.append(value or "")
+        self.attr_ends.append(len(self.names))
+
+    def _end(self, depth: int) -> None:
+        """Close open elements down to a depth."""
+        newest = len(self.tags) - self.start - 1
+        for at in self.open[depth:]:
+            self.last[self.start + at] = newest
+            self.silent -= self.tags[self.start + at] in SILENT
+        del self.open[depth:]
 
     def handle_starttag(self, tag, attrs):
-        self._add(tag, {k: v or "" for k, v in attrs})
+        self._add(tag, attrs)
         if tag not in VOID:
-            self.open.append(len(self.items) - 1)
+            self.open.append(self.idx[-1])
+            self.silent += tag in SILENT
 
     def handle_startendtag(self, tag, attrs):
-        self._add(tag, {k: v or "" for k, v in attrs})
+        self._add(tag, attrs)
 
     def handle_endtag(self, tag):
-        names = [self.items[i]["tag"] for i in self.open]
-        if tag in names:
-            del self.open[len(names) - 1 - names[::-1].index(tag):]
+        for depth in range(len(self.open) - 1, -1, -1):
+            if self.tags[self.start + self.open[depth]] == tag:
+                self._end(depth)
+                break
 
     def handle_data(self, data):
-        if data.strip() and not any(self.items[i]["tag"] in SILENT for i in self.open):
-            self._add(TEXT, {}, data.strip())
-
+        piece = data.strip()
+        if piece and not self.silent:
+            self._add(TEXT, [], piece)
 
-def _flatten_page(page: str | None) -> list[dict] | None:
-    if page is None:
-        return None
-    parser = _Flattener()
-    try:
-        parser.feed(page)
-        parser.close()
-    except Exception:  # one page that cannot be parsed must not fail the batch
-        return None
-    return parser.items
+    def arrow(self, ends: list) -> pa.Array:
+        attrs = pa.MapArray.from_arrays(self.attr_ends, pa.array(self.names, pa.string()), pa.array(self.values, pa.string()))
+        items = pa.StructArray.from_arrays(
+            [pa.array(self.idx, pa.int32()), pa.array(self.last, pa.int32()), pa.array(self.tags, pa.string()), attrs,
+             pa.array(self.texts, pa.string())], fields=list(_ARROW_ITEM))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)
 
 
 @F.arrow_udf(ELEMENT_TYPE)
-def elements(pages: pa.Array) -> pa.Array:
-    return pa.array([_flatten_page(page) for page in pages.to_pylist()], type=_ARROW_TYPE)
+def _elements(pages: pa.Array) -> pa.Array:
+    flat, ends = _Flattener(), []
+    for page in pages.to_pylist():
+        start = len(flat.tags)
+        ends.append(start if page is not None and flat.page(page) else None)
+    return flat.arrow([*ends, len(flat.tags)])
+
+
+# Marked this way so that no filter is moved below the parser, which would run it twice.
+elements = _elements.asNondeterministic()
 
 
 # Element expressions --------------------------------------------------------------
 
 
-def inside(item: Column, box: Column) -> Column:
-    return (item["idx"] > box["idx"]) & (item["idx"] <= box["last"])
+def below(els: Column, item: Column) -> Column:
+    """All descendants of an element: a slice, since the list is in document order."""
+    return F.slice(els, item["idx"] + 2, item["last"] - item["idx"])
 
 
 def has_class(item: Column, name: str) -> Column:
-    classes = F.split(F.coalesce(item["attrs"]["class"], F.lit("")), f"[{text.BLANKS}]+")
-    return F.array_contains(classes, name)
+    value = item["attrs"]["class"]
+    # The plain search comes first: it settles almost every element without a split.
+    return F.coalesce(F.contains(value, F.lit(name)) & F.array_contains(F.split(value, f"[{text.BLANKS}]+"), name), F.lit(False))
 
 
 _PART = re.compile(
@@ -123,39 +168,45 @@ def _matches(item: Column, compound: str) -> Column:
     return F.coalesce(test, F.lit(False))
 
 
-def _under(els: Column, item: Column, ancestors: list[str]) -> Column:
-    if not ancestors:
-        return F.lit(True)
-    return F.exists(els, lambda a: _matches(a, ancestors[-1]) & inside(item, a) & _under(els, a, ancestors[:-1]))
-
-
 def select(els: Column, selector: str) -> Column:
     """All elements matching a comma list of descendant selectors, in document order."""
     chains = [chain.split() for chain in re.split(r",(?![^\[]*\])", selector)]
+    if all(len(chain) == 1 for chain in chains):
+        return F.filter(els, lambda e: reduce(or_, [_matches(e, chain[0]) for chain in chains]))
+    places = F.concat(*[_places(els, chain) for chain in chains])
+    return F.transform(F.array_sort(F.array_distinct(places)), lambda i: F.get(els, i))
+
 
-    def test(item: Column) -> Column:
-        hit = F.lit(False)
-        for chain in chains:
-            hit = hit | (_matches(item, chain[-1]) & _under(els, item, chain[:-1]))
-        return hit
+def _places(els: Column, chain: list[str]) -> Column:
+    """Indexes matched by one chain, walked down from its first part."""
+    def found(area: Column, part: str) -> Column:
+        return F.transform(F.filter(area, lambda e: _matches(e, part)), lambda e: e["idx"])
 
-    return F.filter(els, test)
+    def step(places: Column, part: str) -> Column:
+        return F.array_distinct(F.flatten(F.transform(places, lambda i: found(below(els, F.get(els, i)), part))))
+
+    return reduce(step, chain[1:], found(els, chain[0]))
 
 
 def select_one(els: Column, selector: str) -> Column:
     return F.get(select(els, selector), 0)
 
 
+def _texts(area: Column) -> Column:
+    return F.transform(F.filter(area, lambda t: t["tag"] == TEXT), lambda t: t["text"])
+
+
 def text_of(els: Column, item: Column, joiner: str = "") -> Column:
     """Stripped text pieces under an element; null only for a null element."""
-    pieces = F.filter(els, lambda t: (t["tag"] == TEXT) & inside(t, item))
-    return F.when(item.isNotNull(), F.array_join(F.transform(pieces, lambda t: t["text"]), joiner))
+    return F.array_join(_texts(below(els, item)), joiner)
 
 
-def visible_text(els: Column, item: Column, hidden: Column) -> Column:
-    """Text a browser would show: pieces under a hiding class are left out."""
-    pieces = F.filter(els, lambda t: (t["tag"] == TEXT) & inside(t, item) & ~F.exists(hidden, lambda h: inside(t, h)))
-    return text.strip(F.array_join(F.transform(pieces, lambda t: t["text"]), " "))
+def visible_text(els: Column, item: Column, hidden_class: str) -> Column:
+    """Text a browser would show: what sits under the hiding class is left out."""
+    area = below(els, item)
+    hidden = F.filter(area, lambda e: has_class(e, hidden_class))
+    shown = F.filter(area, lambda t: ~F.exists(hidden, lambda h: (t["idx"] > h["idx"]) & (t["idx"] <= h["last"])))
+    return F.when(has_class(item, hidden_class), "").otherwise(text.strip(F.array_join(_texts(shown), " ")))
 
 
 def select_map(els: Column, selectors: dict[str, str]) -> Column:
@@ -167,32 +218,22 @@ def select_map(els: Column, selectors: dict[str, str]) -> Column:
     return F.create_map(*pairs)
 
 
-def table_rows(els: Column, css_class: str, hidden_class: str = HIDDEN_CLASS, align: bool = False) -> Column:
-    """Rows of the first table of a class, as maps from header to cell.
-
-    Blank headers are dropped before pairing, so later cells move left; ``align=True``
-    keeps positions. Of equal headers the last wins. A table of one row has no rows.
-    """
-    hidden = F.filter(els, lambda e: has_class(e, hidden_class))
-    table = select_one(els, f"table.{css_class}")
-    rows = F.filter(els, lambda e: (e["tag"] == "tr") & inside(e, table))
+def rows_of(els: Column, table: Column) -> Column:
+    return F.filter(below(els, table), lambda e: e["tag"] == "tr")
 
-    def cells(row: Column, tags: list[str]) -> Column:
-        found = F.filter(els, lambda e: e["tag"].isin(tags) & inside(e, row))
-        return F.transform(found, lambda c: visible_text(els, c, hidden))
 
-    every = cells(F.get(rows, 0), ["th", "td"])
-    headers = every if align else F.filter(every, lambda h: h != "")
+def cells_of(els: Column, row: Column, tags: list[str], hidden_class: str = HIDDEN_CLASS) -> Column:
+    """Visible texts of the cells of one row."""
+    found = F.filter(below(els, row), lambda e: e["tag"].isin(tags))
+    return F.transform(found, lambda c: F.when(has_class(row, hidden_class), "").otherwise(visible_text(els, c, hidden_class)))
 
-    def pair(values: Column) -> Column:
-        used = F.slice(headers, 1, F.least(F.size(headers), F.size(values)))
-        last = F.transform(F.filter(F.array_distinct(used), lambda h: h != ""), lambda h: F.struct(
-            h, F.get(values, F.array_max(F.transform(used, lambda u, i: F.when(u == h, i))))))
-        return F.map_from_entries(last)
 
-    body = F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0)))
-    filled = F.filter(F.transform(body, lambda r: cells(r, ["td"])), lambda c: F.size(c) > 0)
-    return F.when(table.isNotNull(), F.filter(F.transform(filled, pair), lambda m: F.size(m) > 0))
+def pair_cells(headers: Column, values: Column) -> Column:
+    """Map from header to cell; of equal headers the last that has a cell wins."""
+    used = F.slice(headers, 1, F.least(F.size(headers), F.size(values)))
+    names = F.filter(F.array_distinct(used), lambda h: h != "")
+    return F.map_from_entries(F.transform(names, lambda h: F.struct(
+        h, F.get(values, F.array_max(F.transform(used, lambda u, i: F.when(u == h, i)))))))
 
 
 def table_inventory(els: Column, placeholder: str) -> Column:
@@ -200,20 +241,23 @@ def table_inventory(els: Column, placeholder: str) -> Column:
     tables = F.filter(els, lambda e: e["tag"] == "table")
     return F.transform(tables, lambda t, i: F.struct(
         i.alias("table_idx"), text.shown(t["attrs"]["class"], placeholder).alias("css_class"),
-        F.size(F.filter(els, lambda r: (r["tag"] == "tr") & inside(r, t))).alias("n_rows")))
+        F.size(rows_of(els, t)).alias("n_rows")))
 
 
-def form_value(els: Column, item: Column, field_type: Column) -> Column:
+def form_value(els: Column, item: Column, field_type: str) -> Column:
     """Value of a form element by the configured field type, stripped."""
-    shown = F.coalesce(text_of(els, item, " "), F.lit(""))
     value, hint = item["attrs"]["value"], item["attrs"]["placeholder"]
-    options = F.filter(els, lambda o: (o["tag"] == "option") & inside(o, item))
-    chosen = F.filter(options, lambda o: F.map_contains_key(o["attrs"], "selected"))
-    option = F.coalesce(F.get(chosen, F.size(chosen) - 1), F.get(options, 0))
-    kind = F.lower(field_type)
-    raw = (F.when(kind == "input", text.first_filled(value, hint)).when(kind == "text", shown)
-           .when(kind == "select", F.coalesce(text_of(els, option, " "), F.lit("")))
-           .otherwise(text.first_filled(shown, value)))
+    if field_type.lower() == "input":
+        raw = text.first_filled(value, hint)
+    elif field_type.lower() == "text":
+        raw = text_of(els, item, " ")
+    elif field_type.lower() == "select":
+        options = F.filter(below(els, item), lambda o: o["tag"] == "option")
+        chosen = F.filter(options, lambda o: F.map_contains_key(o["attrs"], "selected"))
+        option = F.coalesce(F.get(chosen, F.size(chosen) - 1), F.get(options, 0))
+        raw = F.coalesce(text_of(els, option, " "), F.lit(""))
+    else:
+        raw = text.first_filled(text_of(els, item, " "), value)
     return F.when(item.isNotNull(), text.strip(raw))
 
 

@@ -80,9 +80,15 @@ def flatten(parsed: DataFrame) -> DataFrame:
     fields of a batch are not copied to its clients.
     """
     units = F.when(F.col("route") == SINGLE, F.array("text")).when(F.col("route") == BATCH, F.col("clients"))
-    rows = parsed.select("delivery_tag", "route", F.posexplode(units).alias("pos", "client"))
-    is_object = F.ltrim(F.col("client")).startswith("{")
-    return rows.withColumn("fields", F.when(is_object, F.from_json("client", MAP_TYPE, JSON_OPTIONS)))
+
+    def read(client: Column) -> Column:
+        fields = F.from_json(client, MAP_TYPE, JSON_OPTIONS)
+        return F.struct(client.alias("client"), F.when(F.ltrim(client).startswith("{"), fields).alias("fields"))
+
+    # Parsed inside the generator, and an outer one: filters on the fields then stay above
+    # it, so that each client's text is parsed once.
+    rows = parsed.select("delivery_tag", "route", F.posexplode_outer(F.transform(units, read)).alias("pos", "one"))
+    return rows.filter(F.col("pos").isNotNull()).select("delivery_tag", "route", "pos", "one.client", "one.fields")
 
 
 def typed(clients: DataFrame) -> DataFrame:

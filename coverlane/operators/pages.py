@@ -30,6 +30,12 @@ def with_elements(pages: DataFrame) -> DataFrame:
     return pages.withColumn("els", html.elements("html"))
 
 
+def _unfold(exploded: DataFrame, marker: str) -> DataFrame:
+    """Drop the null row of an outer explode. A plain explode would make the optimizer add
+    a filter that works out the whole list a second time."""
+    return exploded.filter(F.col(marker).isNotNull())
+
+
 def failed(parsed: DataFrame) -> DataFrame:
     """Pages that could not be parsed, as error rows; the others go on."""
     return parsed.filter(F.col("els").isNull()).select("page_id", "url", F.lit("page could not be parsed").alias("error"))
@@ -50,18 +56,33 @@ def all_links(parsed: DataFrame, selector: str = "a[href]") -> DataFrame:
     """Every non-empty ``href`` of the selected elements, one row each."""
     hits = F.transform(html.select(F.col("els"), selector), lambda e: e["attrs"]["href"])
     full = F.filter(hits, lambda h: text.has_value(h))
-    return parsed.select("page_id", F.posexplode(full).alias("pos", "href"))
+    return _unfold(parsed.select("page_id", F.posexplode_outer(full).alias("pos", "href")), "pos")
+
 
+def result_rows(parsed: DataFrame, css_class: str, hidden_class: str = html.HIDDEN_CLASS, align: bool = False) -> DataFrame:
+    """Rows of the page's first table of a class: ``page_id, row_idx, cells`` (map).
 
-def result_rows(parsed: DataFrame, css_class: str, **options) -> DataFrame:
-    """Rows of the page's result table: ``page_id, row_idx, cells``."""
-    rows = html.table_rows(F.col("els"), css_class, **options)
-    return parsed.select("page_id", F.posexplode(rows).alias("_pos", "cells")).select(
-        "page_id", (F.col("_pos") + 1).alias("row_idx"), "cells")
+    Blank headers are dropped before pairing, so later cells move left; ``align=True``
+    keeps positions. A table of one row has no rows. Each step is a column of its own, so
+    a page's header is worked out once and the element list ends before the explode.
+    """
+    els = F.col("els")
+    step = parsed.select("page_id", "els", html.select_one(els, f"table.{css_class}").alias("box"))
+    step = step.withColumn("trs", html.rows_of(els, F.col("box")))
+    trs = F.col("trs")
+    heads = html.cells_of(els, F.get(trs, 0), ["th", "td"], hidden_class)
+    body = F.slice(trs, 2, F.greatest(F.size(trs) - 1, F.lit(0)))
+    step = step.select(
+        "page_id", (heads if align else F.filter(heads, lambda h: h != "")).alias("heads"),
+        F.transform(body, lambda r: html.cells_of(els, r, ["td"], hidden_class)).alias("body"))
+    # Paired inside the generator: filters on the cells then do not pair them again.
+    paired = F.transform("body", lambda texts: html.pair_cells(F.col("heads"), texts))
+    rows = step.select("page_id", F.posexplode_outer(paired).alias("at", "cells")).filter(F.size("cells") > 0)
+    return rows.select("page_id", (F.col("at") + 1).alias("row_idx"), "cells")
 
 
 def tables(parsed: DataFrame, placeholder: str = "no-class") -> DataFrame:
-    return parsed.select("page_id", F.inline(html.table_inventory(F.col("els"), placeholder)))
+    return _unfold(parsed.select("page_id", F.inline_outer(html.table_inventory(F.col("els"), placeholder))), "table_idx")
 
 
 def inventory(parsed: DataFrame, kinds: dict[str, str] = KINDS) -> DataFrame:
@@ -80,7 +101,7 @@ def error_banner(parsed: DataFrame, selector: str = BANNER, words: list[str] = A
 
 def relevant_links(pages: DataFrame, fragments: list[str] = LINK_FRAGMENTS, words: list[str] = LINK_WORDS) -> DataFrame:
     """Links whose address holds a fragment and whose text holds a word."""
-    rows = pages.select("page_id", F.inline(html.anchors(F.col("html"))))
+    rows = pages.select("page_id", F.inline_outer(html.anchors(F.col("html"))))
     return rows.filter(text.contains_any("href", fragments) & text.contains_any(F.lower("label"), words))
 
 
@@ -91,14 +112,12 @@ def capture(parsed: DataFrame, fields: list[dict]) -> DataFrame:
     required``. A field that is not on the page has a null value and ``found`` false.
     """
     els = F.col("els")
-    boxes = []
-    for f in fields:
-        item = html.select_one(els, f["selector"])
-        boxes.append(F.struct(
-            F.lit(f["field_name"]).alias("field_name"), F.lit(f["ord"]).alias("ord"),
-            F.lit(f["required"]).alias("required"), item.isNotNull().alias("found"),
-            html.form_value(els, item, F.lit(f["field_type"])).alias("value")))
-    return parsed.select("page_id", F.inline(F.array(*boxes)))
+    found = parsed.select("page_id", "els", *[html.select_one(els, f["selector"]).alias(f"_{i}") for i, f in enumerate(fields)])
+    boxes = [F.struct(
+        F.lit(f["field_name"]).alias("field_name"), F.lit(f["ord"]).alias("ord"), F.lit(f["required"]).alias("required"),
+        F.col(f"_{i}").isNotNull().alias("found"), html.form_value(els, F.col(f"_{i}"), f["field_type"]).alias("value"))
+        for i, f in enumerate(fields)]
+    return found.select("page_id", F.inline_outer(F.array(*boxes)))
 
 
 def capture_gate(captured: DataFrame) -> DataFrame:

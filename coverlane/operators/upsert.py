@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from coverlane.functions import text
 from coverlane.schemas import NAME_PARTS
+from coverlane.session import shared_dir
 
 KEY = ("invoice_id", "insurer_id")
 ORDER = ("delivery_tag", "pos")
@@ -24,25 +25,29 @@ def _keyed() -> Column:
     return text.has_id(KEY[0]) & text.has_id(KEY[1])
 
 
+def _slot(keyed: Column) -> list[Column]:
+    """Grouping columns: the key, or the message itself where a message has no key."""
+    pairs = zip(("_a", "_b"), KEY, ORDER)
+    return [keyed.alias("_keyed"), *[F.when(keyed, F.col(k)).otherwise(F.col(o).cast("bigint")).alias(n) for n, k, o in pairs]]
+
+
 def changes(source: DataFrame, target: DataFrame, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """The updates (``id`` and new values) and the rows to insert.
 
-    ``source`` holds matched clients only: key, order, identity and value columns.
+    ``source`` holds matched clients only: key, order, identity and value columns. Its
+    outcome per key is written to the shared folder once, since both results read it.
     """
-    moment = now if now is not None else F.current_timestamp()
+    shared_dir(source.sparkSession)
     at = F.struct(*ORDER)
-    per_key = source.filter(_keyed()).groupBy(*KEY).agg(
-        F.min_by(F.struct(*ORDER, *IDENTITY), at).alias("first"),
+    per_key = source.groupBy(*_slot(_keyed())).agg(
+        F.min_by(F.struct(*KEY, *ORDER, *IDENTITY), at).alias("first"),
         F.max_by(F.struct(*VALUES), at).alias("last"))
-    existing = (
-        target.filter((F.col("status") == ACTIVE) & _keyed())
-        .groupBy(*KEY).agg(F.min("id").alias("id")))
-    joined = per_key.join(existing, list(KEY), "left")
-    updates = joined.filter(F.col("id").isNotNull()).select("id", *[F.col(f"last.{v}").alias(v) for v in VALUES])
-    fresh = joined.filter(F.col("id").isNull()).select(
-        *KEY, *[F.col(f"first.{c}").alias(c) for c in (*ORDER, *IDENTITY)], *[F.col(f"last.{v}").alias(v) for v in VALUES])
-    keyless = source.filter(~_keyed()).select(*KEY, *ORDER, *IDENTITY, *VALUES)
-    return updates, insert_rows(fresh.unionByName(keyless), moment)
+    existing = target.filter((F.col("status") == ACTIVE) & _keyed()).groupBy(*KEY).agg(F.min("id").alias("id"))
+    existing = existing.select(F.lit(True).alias("_keyed"), F.col(KEY[0]).alias("_a"), F.col(KEY[1]).alias("_b"), "id")
+    decided = per_key.join(existing, ["_keyed", "_a", "_b"], "left").select("id", "first", "last").checkpoint()
+    updates = decided.filter(F.col("id").isNotNull()).select("id", "last.*")
+    fresh = decided.filter(F.col("id").isNull()).select("first.*", "last.*")
+    return updates, insert_rows(fresh, now if now is not None else F.current_timestamp())
 
 
 def insert_rows(rows: DataFrame, moment: Column) -> DataFrame:

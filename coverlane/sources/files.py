@@ -10,6 +10,15 @@ from coverlane.operators import messages
 LINE_SCHEMA = "delivery_tag long, attempt int, body string"
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Even out a scan before costly per-row work, if it has fewer splits than cores.
+
+    A large input has more splits than cores and is left as it is, without a shuffle.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def message_files(spark: SparkSession, path: str) -> DataFrame:
     """One JSON document per file, read whole as bytes: ``path`` and ``body``.
 
