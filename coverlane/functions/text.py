@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,7 +9,8 @@ from pyspark.sql import types as T
 # Every character that Unicode-aware stripping removes.
 BLANKS = "\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
-EPOCH_NTZ = dt.datetime(1970, 1, 1)
+BLANK_CHARS = "".join(chr(c) for c in (
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 
 
 def col(value: Column | str) -> Column:
@@ -20,7 +19,7 @@ def col(value: Column | str) -> Column:
 
 def strip(value: Column | str) -> Column:
     """Remove blanks of any kind from both ends (plain ``trim`` takes U+0020 only)."""
-    return F.regexp_replace(col(value), f"^[{BLANKS}]+|[{BLANKS}]+$", "")
+    return F.trim(col(value), F.lit(BLANK_CHARS))
 
 
 def fold_name(value: Column | str) -> Column:
@@ -108,7 +107,8 @@ def micros(df: DataFrame, name: str) -> Column:
     """Microseconds since the epoch, the same in every session time zone."""
     kind = df.schema[name].dataType
     if isinstance(kind, T.TimestampNTZType):
-        return F.timestamp_diff("MICROSECOND", F.lit(EPOCH_NTZ).cast("timestamp_ntz"), F.col(name))
+        since = F.col(name) - F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'")
+        return (since.cast("interval second").cast("decimal(18,6)") * 1_000_000).cast("long")
     return F.unix_micros(F.col(name))
 
 

@@ -32,19 +32,25 @@ def named_rows(table_rows: DataFrame) -> DataFrame:
         text.field("cells", POLICY).alias("policy_no"), text.field("cells", DEPENDENT).alias("dependent_no"))
 
 
+def _join_name(name: str) -> Column:
+    """Folded name, never null: the join then needs no null test, which would fold again.
+    Empty names are taken out on the side of the rows, so they match nothing."""
+    return F.coalesce(text.fold_name(name), F.lit(""))
+
+
 def first_active(rows: DataFrame, strict: bool = False) -> DataFrame:
     """Per page and folded name, the first active row.
 
     The choice does not depend on who asks, so it is made before the join: partial
     aggregation shrinks the rows on the map side and every client meets one row.
     """
-    usable = rows.filter(is_active(F.col("status"), strict)).withColumn("norm_name", text.fold_name("patient"))
-    usable = usable.filter(text.has_value("norm_name"))
+    usable = rows.filter(is_active(F.col("status"), strict)).withColumn("norm_name", _join_name("patient"))
+    usable = usable.filter(F.col("norm_name") != "")
     pick = F.struct("row_idx", "policy_no", "dependent_no", "status")
     return usable.groupBy("page_key", "norm_name").agg(F.min_by(pick, "row_idx").alias("hit"))
 
 
 def match(clients: DataFrame, rows: DataFrame, strict: bool = False, how: str = "inner") -> DataFrame:
     """Join clients (``page_key, full_name``) to their first active row, as ``hit``."""
-    asked = clients.withColumn("norm_name", text.fold_name("full_name"))
+    asked = clients.withColumn("norm_name", _join_name("full_name"))
     return asked.join(first_active(rows, strict), ["page_key", "norm_name"], how)

@@ -118,7 +118,7 @@ def first_match_strict(spark, sf_dir):
 @query("upsert", """
 WITH target AS (SELECT concat('T', lpad(CAST(o_orderkey AS VARCHAR), 12, '0')) AS id, o_custkey AS invoice_id, o_orderkey % 5 AS insurer_id,
     o_orderpriority AS doc_id, 'old' AS policy_no, '0' AS dependent_no, CASE WHEN o_orderstatus = 'P' THEN 0 ELSE 1 END AS status FROM orders),
-src AS (SELECT l_orderkey AS tag, CAST(l_linenumber AS BIGINT) * 100000000000 + l_partkey * 10000 + l_suppkey AS pos, l_partkey AS invoice_id,
+src AS (SELECT l_orderkey AS tag, CAST(l_linenumber AS BIGINT) * 1000000000000000000 + l_partkey * 100000000 + CAST(round(l_extendedprice * 100) AS BIGINT) AS pos, l_partkey AS invoice_id,
     l_suppkey % 7 AS insurer_id, concat('D', l_suppkey) AS doc_id, concat(l_returnflag, l_partkey) AS policy_no, l_linestatus AS dependent_no FROM lineitem),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY invoice_id, insurer_id ORDER BY tag, pos) AS rf,
     row_number() OVER (PARTITION BY invoice_id, insurer_id ORDER BY tag DESC, pos DESC) AS rl FROM src WHERE invoice_id <> 0 AND insurer_id <> 0),
@@ -142,7 +142,8 @@ def upsert_orders(spark, sf_dir):
         F.col("o_custkey").alias("invoice_id"), (F.col("o_orderkey") % 5).alias("insurer_id"), F.col("o_orderpriority").alias("doc_id"),
         F.lit("old").alias("policy_no"), F.lit("0").alias("dependent_no"), F.lit(None).cast("timestamp").alias("created_at"),
         F.when(F.col("o_orderstatus") == "P", 0).otherwise(1).cast("byte").alias("status")).withColumns(blank)
-    pos = F.col("l_linenumber").cast("long") * 100_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey")
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    pos = F.col("l_linenumber").cast("long") * 10**18 + F.col("l_partkey") * 10**8 + cents
     source = lines.select(
         F.col("l_orderkey").alias("delivery_tag"), pos.alias("pos"), F.col("l_partkey").alias("invoice_id"),
         (F.col("l_suppkey") % 7).alias("insurer_id"), F.concat(F.lit("D"), F.col("l_suppkey")).alias("doc_id"),
