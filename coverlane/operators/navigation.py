@@ -23,23 +23,24 @@ def changes(log: DataFrame, by: ordered.Ordering, value: Column) -> DataFrame:
     return seen.filter(F.col("prev_value").isNotNull() & ~value.eqNullSafe(F.col("prev_value"))).drop(ordered.SLICE)
 
 
-def first_change(log: DataFrame, keys: list[str], order: list[str], tests: list[tuple[str, str]],
+def first_change(log: DataFrame, by: ordered.Ordering, tests: list[tuple[str, str]],
                  flags: list[tuple[Column, str]]) -> DataFrame:
     """The first row after the opening one that ends the wait, and why.
 
     ``tests`` are (column, reason): the column differs from the opening row.
     ``flags`` are (condition, reason) on the row itself. Earlier entries win.
     """
-    at = F.struct(*order)
-    opening = log.groupBy(*keys).agg(F.min_by(F.struct(*[c for c, _ in tests]), at).alias("_first"), F.min(at).alias("_at"))
-    joined = log.join(opening, keys).filter(at > F.col("_at"))
+    at = F.struct(*by.order)
+    opening = F.min_by(F.struct(at.alias("at"), *[c for c, _ in tests]), at)
+    joined = ordered.of_key(ordered.cut_hot(log, by), opening, "_first").df.filter(at > F.col("_first.at"))
     reason = F.lit(None).cast("string")
     for condition, name in reversed(flags):
         reason = F.when(condition, name).otherwise(reason)
     for column, name in reversed(tests):
         reason = F.when(~F.col(column).eqNullSafe(F.col("_first")[column]), name).otherwise(reason)
     hits = joined.withColumn("reason", reason).filter("reason is not null")
-    return hits.groupBy(*keys).agg(F.min_by(F.struct(*order, "reason"), at).alias("_hit")).select(*keys, "_hit.*")
+    found = hits.groupBy(*by.keys).agg(F.min_by(F.struct(*by.order, "reason"), at).alias("_hit"))
+    return found.select(*by.keys, "_hit.*")
 
 
 def stays(log: DataFrame, key: str, limit: float, **options) -> DataFrame:

@@ -149,6 +149,20 @@ def next_seen(sliced: Sliced, value: Column, when: Column, name: str) -> Sliced:
     return _nearest(sliced, value, when, name, backwards=True, own=False)
 
 
+def of_key(sliced: Sliced, value: Column, name: str) -> Sliced:
+    """An aggregate over the whole key, on each of its rows.
+
+    For hot keys the value travels by key and slice, so their rows stay spread out.
+    """
+    keys = list(sliced.by.keys)
+    values = sliced.df.groupBy(*keys).agg(value.alias(name))
+    if not sliced.has_hot:
+        return sliced.with_df(sliced.df.join(values, keys))
+    parts = sliced.df.select(*keys, F.coalesce(F.hash(SLICE), F.lit(0)).alias("_part")).distinct().join(values, keys)
+    rows = sliced.df.withColumn("_part", F.coalesce(F.hash(SLICE), F.lit(0)))
+    return sliced.with_df(rows.join(parts, [*keys, "_part"]).drop("_part"))
+
+
 def longest_runs(sliced: Sliced, hit: Column) -> DataFrame:
     """Per key, the longest unbroken run of rows for which ``hit`` holds."""
     miss = F.when(hit, 0).otherwise(1).cast("long")

@@ -81,6 +81,11 @@ def result_rows(parsed: DataFrame, css_class: str, hidden_class: str = html.HIDD
     return rows.select("page_id", (F.col("at") + 1).alias("row_idx"), "cells")
 
 
+def result_sizes(rows: DataFrame) -> DataFrame:
+    """Per page, the number of result rows and of columns seen in them."""
+    return rows.groupBy("page_id").agg(F.count("*").alias("n_rows"), F.max(F.size("cells")).alias("n_columns"))
+
+
 def tables(parsed: DataFrame, placeholder: str = "no-class") -> DataFrame:
     return _unfold(parsed.select("page_id", F.inline_outer(html.table_inventory(F.col("els"), placeholder))), "table_idx")
 

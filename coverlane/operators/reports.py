@@ -41,7 +41,7 @@ def queue_status(inbox: DataFrame, done: Column) -> DataFrame:
 
 def worker_status(outcomes: DataFrame, ts_micros: Column, handled: Column) -> DataFrame:
     return outcomes.agg(
-        F.count_if(handled).alias("processed"),
+        F.count_if(handled).alias("processed"), F.count_if(~handled).alias("unprocessed"),
         F.round(text.seconds_between(F.min(ts_micros), F.max(ts_micros)), 3).alias("uptime_seconds"))
 
 
@@ -60,6 +60,11 @@ def alerts(runs: DataFrame, by: ordered.Ordering, ok: Column, seconds: Column,
         (F.col("longest_run") > max_failures).alias("failure_alert"))
 
 
+def can_capture(n_fields: Column, doc_id: Column) -> Column:
+    """A capture fails without a document number, unless no field is configured at all."""
+    return F.when(F.coalesce(n_fields, F.lit(0)) == 0, True).otherwise(text.has_value(doc_id))
+
+
 def outcome(name: Column, has_url: Column, needs_session: Column, phase: Column, capture_ok: Column) -> Column:
     """What became of one client.
 

@@ -51,6 +51,11 @@ def limit_errors(df: DataFrame, limits: dict[str, int] = INVOICE_TEXT_LIMITS) ->
     return errors(checks)
 
 
+def id_errors(names: list[str]) -> Column:
+    """Ids that carry text which is not a whole number."""
+    return errors([(text.has_value(n) & F.col(n).try_cast("int").isNull(), f"{n} is not a number") for n in names])
+
+
 def split_rejects(df: DataFrame, found: Column) -> tuple[DataFrame, DataFrame]:
     """Rows without errors, and the others with their error list."""
     checked = df.withColumn("errors", found)

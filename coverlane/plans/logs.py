@@ -92,24 +92,27 @@ def nav_dwell(spark, sf_dir):
 NAME_SQL = "CASE WHEN event_type = 'view' THEN '' ELSE event_type END"
 
 
-@query("outcomes", _walk("""SELECT user_id, 86400 AS ttl, epoch_us(ts) AS t, event_id AS seq, value >= 20 AS opens, event_type <> 'error' AS closes,
- false AS reset FROM events WHERE event_type NOT IN ('view', 'purchase') AND value >= 1""", f"""
+@query("outcomes", _walk("""SELECT user_id, 86400 AS ttl, epoch_us(ts) AS t, event_id AS seq, value >= 20 AS opens,
+ event_type = 'click' OR (event_type <> 'error' AND value <= 300) AS closes, false AS reset FROM events WHERE event_type NOT IN ('view', 'purchase') AND value >= 1""", f"""
 SELECT e.event_id, CASE WHEN {NAME_SQL} = '' THEN 'no_name' WHEN e.value < 1 THEN 'no_url' WHEN e.event_type = 'purchase' THEN 'ok'
-  WHEN w.phase = 'login' THEN 'ok' WHEN w.phase = 'none' THEN 'login_failed' WHEN e.event_type = 'error' THEN 'capture_failed' ELSE 'ok' END AS outcome
+  WHEN w.phase = 'login' THEN 'ok' WHEN w.phase = 'none' THEN 'login_failed'
+  WHEN e.event_type <> 'click' AND (e.event_type = 'error' OR e.value > 300) THEN 'capture_failed' ELSE 'ok' END AS outcome
 FROM events e LEFT JOIN walk w ON w.user_id = e.user_id AND w.seq = e.event_id"""))
 def outcomes(spark, sf_dir):
-    """One outcome per message. Purchases need no session; a failed capture only counts on
-    a session that was already running."""
+    """One outcome per message. Purchases need no session, clicks have no fields to capture;
+    a failed capture only counts on a session that was already running."""
     return _outcomes(table(spark, sf_dir, "events")).select("event_id", "outcome")
 
 
 def _outcomes(events):
     kind = F.col("event_type")
+    n_fields = F.when(kind == "click", 0).otherwise(2)
+    doc_id = F.when((kind == "error") | (F.col("value") > 300), "").otherwise(F.concat(F.lit("D"), F.col("user_id")))
     rows = events.select(
         "event_id", "user_id", text.micros(events, "ts").alias("t"), F.col("event_id").alias("seq"),
         F.when(kind == "view", "").otherwise(kind).alias("name"), (F.col("value") >= 1).alias("has_url"),
-        (kind != "purchase").alias("needs_session"), (F.col("value") >= 20).alias("opens"), (kind != "error").alias("closes"),
-        F.lit(False).alias("reset"))
+        (kind != "purchase").alias("needs_session"), (F.col("value") >= 20).alias("opens"),
+        reports.can_capture(n_fields, doc_id).alias("closes"), F.lit(False).alias("reset"))
     in_session = text.has_value("name") & F.col("has_url") & F.col("needs_session")
     kept = ("event_id", "name", "has_url", "needs_session")
     held = sessions.phases(rows.filter(in_session), "user_id", DAY, keep=kept)
@@ -125,9 +128,7 @@ SELECT count(*) FILTER (WHERE event_type <> 'view') AS processed, count(*) FILTE
 def worker_status(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     handled = F.col("event_type") != "view"
-    status = reports.worker_status(events, text.micros(events, "ts"), handled)
-    rest = events.agg(F.count_if(~handled).alias("unprocessed"))
-    return status.withColumn("unprocessed", rest.scalar())
+    return reports.worker_status(events, text.micros(events, "ts"), handled)
 
 
 @query("queue_status", """
@@ -150,8 +151,9 @@ def active_set(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     last = events.agg(F.max(F.to_date("ts"))).scalar()
     seen = events.filter(F.to_date("ts") == last).select("user_id").distinct()
-    known = catalog.only_known(events, seen, "user_id")
-    return known.groupBy("user_id").agg(F.count("*").alias("n_events"), F.max("event_id").alias("last_event"))
+    # Counted before the join, so that a heavy user is one row by then.
+    totals = events.groupBy("user_id").agg(F.count("*").alias("n_events"), F.max("event_id").alias("last_event"))
+    return catalog.only_known(totals, seen, "user_id")
 
 
 @query("cache_contents", """
@@ -179,8 +181,8 @@ SELECT user_id, min(event_id) AS event_id, min_by(reason, event_id) AS reason FR
 def nav_first_change(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     return navigation.first_change(
-        events, ["user_id"], ["event_id"], [("event_type", "url"), ("props", "title")],
-        [(F.col("event_type") == "error", "error"), (F.col("value") > 100, "inputs")])
+        events.select("user_id", "ts", "event_id", "event_type", "props", "value"), by_user(events), [("event_type", "url"), ("props", "title")],
+        [(F.col("event_type") == "error", "error"), (F.col("value") > 100, "inputs")]).select("user_id", "event_id", "reason")
 
 
 @query("nav_final", """
@@ -193,8 +195,8 @@ def nav_final(spark, sf_dir):
 
 @query("attempts", """
 WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS attempt FROM events)
-SELECT user_id, event_id, attempt, least(2, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END)
-  OVER (PARTITION BY user_id ORDER BY attempt)) AS retries FROM n WHERE attempt <= 40""")
+SELECT user_id, event_id, CAST(attempt AS INTEGER) AS attempt, CAST(least(2, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END)
+  OVER (PARTITION BY user_id ORDER BY attempt)) AS BIGINT) AS retries FROM n WHERE attempt <= 40""")
 def attempts(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     kept = navigation.attempts(events, ["user_id"], ["ts", "event_id"], 40, F.col("event_type") == "error", 2)

@@ -109,7 +109,7 @@ def full_name(spark, sf_dir):
 WITH t AS (SELECT page_id, CASE WHEN lang = 'en' THEN '' ELSE url END AS url FROM
   (SELECT page_id, url, regexp_extract(html, 'html lang="([a-z]+)"', 1) AS lang FROM pages)),
 d AS (SELECT *, CASE WHEN url <> '' THEN 'ack' WHEN page_id % 3 = 2 THEN 'dead_letter' ELSE 'retry' END AS disposition FROM t)
-SELECT disposition, count(*) AS n, count(*) FILTER (WHERE url <> '') AS n_urls, sum(length(url)) AS url_chars,
+SELECT disposition, count(*) AS n, count(*) FILTER (WHERE url <> '') AS n_urls, CAST(sum(length(url)) AS BIGINT) AS url_chars,
   count(*) FILTER (WHERE url <> '') AS n_selectors
 FROM d GROUP BY 1""")
 def tasks(spark, sf_dir):

@@ -59,7 +59,7 @@ def select_map(spark, sf_dir):
 
 @query("scrape_results", f"""
 SELECT url, {TITLE_SQL} AS title, '' AS content, CAST(200 AS INTEGER) AS status_code, CASE WHEN html LIKE '%lang="es"%' THEN 'timeout' ELSE '' END AS error_message,
-  page_id % 2 = 0 AS rendered, 1.5 AS processing_time, {H1_SQL} AS head FROM pages""")
+  page_id % 2 = 0 AS rendered, 1.5::DOUBLE AS processing_time, {H1_SQL} AS head FROM pages""")
 def scrape_results(spark, sf_dir):
     """The generic worker's result rows, with the whole record as JSON."""
     parsed = pages.with_elements(spread_table(spark, sf_dir, "pages"))
@@ -73,7 +73,7 @@ def scrape_results(spark, sf_dir):
 
 @query("element_inventory", f"""
 SELECT page_id, len(regexp_extract_all({NOISE_SQL}, '<a[ >]')) AS links, len(regexp_extract_all({NOISE_SQL}, '<p[ >]')) AS paragraphs,
-  len(regexp_extract_all({NOISE_SQL}, '<li[ >]')) AS items, 0 AS inputs, len(regexp_extract_all({NOISE_SQL}, '<p[ >]')) AS fast_paragraphs FROM pages""")
+  len(regexp_extract_all({NOISE_SQL}, '<li[ >]')) AS items, 0::BIGINT AS inputs, len(regexp_extract_all({NOISE_SQL}, '<p[ >]')) AS fast_paragraphs FROM pages""")
 def element_inventory(spark, sf_dir):
     """Element counts from the tree, and the same count by the JVM-only path."""
     source = spread_table(spark, sf_dir, "pages").withColumn("fast", html.tag_count(F.col("html"), "p"))
@@ -126,7 +126,7 @@ def selector_kind(spark, sf_dir):
 
 @query("capture_gate", f"""
 WITH b AS (SELECT page_id, html LIKE '%<b>%' AS has_b, html LIKE '%<br>%' AS has_br FROM pages)
-SELECT page_id, 5 AS n_fields, 2 + has_b::INT + has_br::INT AS n_captured, 3 - has_b::INT - has_br::INT AS n_failed, NOT has_b OR NOT has_br AS stopped,
+SELECT page_id, 5::BIGINT AS n_fields, 2 + has_b::BIGINT + has_br::BIGINT AS n_captured, 3 - has_b::BIGINT - has_br::BIGINT AS n_failed, NOT has_b OR NOT has_br AS stopped,
   CASE WHEN NOT has_br THEN 2 WHEN NOT has_b THEN 4 END AS stop_ord FROM b""")
 def capture_gate(spark, sf_dir):
     """Five configured fields per page: two always there, two that some pages lack, one missing."""
@@ -183,3 +183,10 @@ SELECT css_class, n_rows, count(*) AS n FROM (SELECT 'Menu' AS css_class, 1 AS n
 def html_table_inventory(spark, sf_dir):
     found = pages.tables(pages.with_elements(result_pages(spark, sf_dir)))
     return found.groupBy("css_class", "n_rows").agg(F.count("*").alias("n"))
+
+
+@query("html_table_size", """
+SELECT c_custkey AS page_id, CAST(CASE WHEN c_acctbal > 5000 THEN 2 ELSE 1 END AS BIGINT) AS n_rows, 4 AS n_columns FROM customer""")
+def html_table_size(spark, sf_dir):
+    rows = pages.result_rows(pages.with_elements(result_pages(spark, sf_dir)), "Grid")
+    return pages.result_sizes(rows)

@@ -26,7 +26,7 @@ def param_scan(spark, sf_dir):
 WITH b AS (SELECT event_id, {BODY} AS body FROM events),
 k AS (SELECT event_id, CASE WHEN json_valid(body) THEN json_type(body) END AS kind FROM b)
 SELECT CASE WHEN kind IS NULL OR kind IN ('OBJECT', 'ARRAY', 'VARCHAR') THEN 'ack' ELSE 'dead_letter' END AS disposition,
-  count(*) AS n, sum(event_id) AS tags FROM k GROUP BY 1""")
+  count(*) AS n, CAST(sum(event_id) AS BIGINT) AS tags FROM k GROUP BY 1""")
 def stream_dispositions(spark, sf_dir):
     """All events as message files, streamed to one folder per batch and disposition."""
     base = session.fresh_dir(spark, "dispositions")
