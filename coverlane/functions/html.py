@@ -270,9 +270,10 @@ def without_noise(page: Column) -> Column:
 
 
 def unescape(value: Column) -> Column:
-    # The basic entities; "&amp;" must come last.
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\xa0"), ("&amp;", "&")):
-        value = F.replace(value, F.lit(entity), F.lit(char))
+    """Basic entities; as in a browser the semicolon may be missing at the end of a word."""
+    # Entity names and their characters; "amp" must come last.
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("nbsp", "\xa0"), ("amp", "&")):
+        value = F.regexp_replace(value, f"&{name}(?:;|(?![a-zA-Z0-9]))", char)
     return value
 
 

@@ -12,8 +12,9 @@ NOISE_SQL = "regexp_replace(html, '(?is)<!--.*?-->|<script\\b.*?</script\\s*>|<s
 
 
 def _plain_sql(value: str) -> str:
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        value = f"replace({value}, '{entity}', '{char}')"
+    """Entities resolved; the pages also cut some short at the end of a text ("&amp")."""
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        value = f"regexp_replace({value}, '&{name}(;|$)', '{char}', 'g')"
     return value
 
 
