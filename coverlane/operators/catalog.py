@@ -58,19 +58,16 @@ def pages(children: DataFrame, key: str, order: tuple[str, ...], items: Column,
 
 
 def nested(catalog: DataFrame, lists: dict[str, DataFrame], key: str = "url_id") -> DataFrame:
-    """Catalog rows with one list column per kind of child; an absent list is empty."""
-    numbers = None
-    for child in lists.values():
-        found = child.select(key, "page")
-        numbers = found if numbers is None else numbers.unionByName(found)
-    first = catalog.select(F.col("id").alias(key), F.lit(0).cast("long").alias("page"))
-    spine = numbers.unionByName(first).distinct()
-    out = catalog.withColumnRenamed("id", key).join(spine, key)
+    """Catalog rows with one list column per kind of child; an absent list is empty.
+
+    There is one row per entry and page, and page 0 is always there.
+    """
+    entries = catalog.withColumnRenamed("id", key)
+    out = entries.select(key, F.lit(0).cast("long").alias("page"))
     for name, child in lists.items():
-        empty = F.array().cast(child.schema["items"].dataType)
-        out = out.join(child.withColumnRenamed("items", name), [key, "page"], "left")
-        out = out.withColumn(name, F.coalesce(F.col(name), empty))
-    return out
+        out = out.join(child.withColumnRenamed("items", name), [key, "page"], "full_outer")
+    filled = {n: F.coalesce(F.col(n), F.array().cast(c.schema["items"].dataType)) for n, c in lists.items()}
+    return entries.join(out.withColumns(filled), key)
 
 
 def login_field_pages(fields: DataFrame, cut: Column, **options) -> DataFrame:

@@ -27,6 +27,7 @@ from coverlane.operators import ordered
 from coverlane.session import shared_dir
 
 STEP_COLUMNS = ("t", "seq", "opens", "closes", "reset")
+Point = tuple[int, int]
 AFTER_ALL = 2**63 - 1
 HOT_SLICE_SECONDS = 60
 
@@ -51,33 +52,35 @@ def phases(df: DataFrame, key: str, ttl: float, keep: tuple[str, ...] = (),
     return ordinary.unionByName(heavy.select(ordinary.columns))
 
 
+def advance(login: Point | None, row: tuple, ttl_micros: int) -> tuple[str, Point | None, Point | None]:
+    """One step of the rules: phase of the row, login it ran on, login left after it."""
+    t, seq, opens, closes, reset = row
+    if reset:
+        return RESET, None, None
+    if login is None:
+        started = (t, seq) if opens else None
+        return (LOGIN if opens else NONE), started, started
+    if closes and t - login[0] > ttl_micros:
+        return LATE, login, None
+    return LIVE, login, login
+
+
 def _fold_partitions(steps: DataFrame, key: str, ttl_micros: int) -> DataFrame:
     out = steps.schema.simpleString()[len("struct<"):-1] + ",phase:string,login_t:bigint,login_seq:bigint"
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, login = None, None
         for batch in batches:
-            marks, times, seqs = [], [], []
-            rows = zip(*(batch[c].tolist() for c in (key, *STEP_COLUMNS)))
-            for name, t, seq, opens, closes, reset in rows:
+            marks, used = [], []
+            names = batch[key].tolist()
+            for name, row in zip(names, zip(*(batch[c].tolist() for c in STEP_COLUMNS))):
                 if name != current:
                     current, login = name, None
-                mark, used = NONE, login
-                if reset:
-                    mark, used, login = RESET, None, None
-                elif login is None:
-                    if opens:
-                        mark, login = LOGIN, (t, seq)
-                        used = login
-                elif closes and t - login[0] > ttl_micros:
-                    mark, login = LATE, None
-                else:
-                    mark = LIVE
+                mark, ran_on, login = advance(login, row, ttl_micros)
                 marks.append(mark)
-                times.append(used and used[0])
-                seqs.append(used and used[1])
-            yield batch.assign(phase=marks, login_t=pd.array(times, dtype="Int64"),
-                               login_seq=pd.array(seqs, dtype="Int64"))
+                used.append(ran_on or (None, None))
+            yield batch.assign(phase=marks, login_t=pd.array([u[0] for u in used], dtype="Int64"),
+                               login_seq=pd.array([u[1] for u in used], dtype="Int64"))
 
     ready = steps.repartition(key).sortWithinPartitions(key, "t", "seq")
     return ready.mapInPandas(fold, f"struct<{out}>")

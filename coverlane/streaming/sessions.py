@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from coverlane.operators.sessions import LATE, LIVE, LOGIN, NONE, RESET, STEP_COLUMNS
+from coverlane.operators.sessions import STEP_COLUMNS, advance
 
 STATE = "t bigint, seq bigint"
 
@@ -27,15 +27,8 @@ class SessionProcessor(StatefulProcessor):
         batch = pd.concat(list(rows)).sort_values(["t", "seq"])
         login = tuple(self.login.get()) if self.login.exists() else None
         marks = []
-        for t, seq, opens, closes, reset in zip(*(batch[c].tolist() for c in STEP_COLUMNS)):
-            if reset:
-                mark, login = RESET, None
-            elif login is None:
-                mark, login = (LOGIN, (t, seq)) if opens else (NONE, None)
-            elif closes and t - login[0] > self.ttl_micros:
-                mark, login = LATE, None
-            else:
-                mark = LIVE
+        for row in zip(*(batch[c].tolist() for c in STEP_COLUMNS)):
+            mark, _, login = advance(login, row, self.ttl_micros)
             marks.append(mark)
         if login is None:
             self.login.clear()

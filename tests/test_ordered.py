@@ -71,3 +71,17 @@ def test_pages_keep_every_child(log, rows):
         for key, items in history(log).items():
             ordered_ids = [x["id"] for p in sorted((p for p in pages if p["k"] == key), key=lambda p: p["page"]) for x in p["items"]]
             assert ordered_ids == [r["id"] for r in items]
+
+
+def test_key_values_and_first_change(log, rows):
+    tests, flags = [("v", "value")], [(F.col("hit"), "hit")]
+    expected = []
+    for key, items in history(log).items():
+        first = items[0]
+        reason = ((r["id"], "value" if r["v"] != first["v"] else "hit") for r in items[1:] if r["v"] != first["v"] or r["hit"])
+        expected += [(key, *hit) for hit in [next(reason, None)] if hit]
+    for hot_rows in (10**9, 50):
+        assert rows(navigation.first_change(log, by(hot_rows), tests, flags), "k", "id", "reason") == sorted(expected)
+        size = ordered.of_key(ordered.cut_hot(log, by(hot_rows)), F.count("*"), "n").df
+        assert rows(size.select("k", "n").distinct()) == sorted((k, len(v)) for k, v in history(log).items())
+        assert size.count() == 600
