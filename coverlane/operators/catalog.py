@@ -43,7 +43,7 @@ def active(fields: DataFrame) -> DataFrame:
 
 
 def pages(children: DataFrame, key: str, order: tuple[str, ...], items: Column, cut: Column,
-          page_size: int = PAGE_SIZE, hot_rows: int = ordered.HOT_ROWS) -> DataFrame:
+          page_size: int = PAGE_SIZE, hot_rows: int | None = None) -> DataFrame:
     """Ordered child lists, in pages: ``key, page, items``.
 
     A list of settings fits on page 0. A longer one goes on in further pages, so no

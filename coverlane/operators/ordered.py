@@ -4,7 +4,8 @@ A plain window over ``key`` puts one key into one task. Here a key with more tha
 ``hot_rows`` rows is first cut into slices that follow the order of its rows (for
 example one slice per minute). Windows run per ``(key, slice)``; one summary row
 per slice then carries the state over the slice borders. Keys below the mark stay
-in a single slice, and where no key is above it the plan is the plain window.
+in a single slice, and where no key is above it the plan is the plain window. The mark
+can be set for a session as ``coverlane.hotRows``.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ class Ordering:
     keys: tuple[str, ...]
     order: tuple[str, ...]
     cut: Column
-    hot_rows: int = HOT_ROWS
+    hot_rows: int | None = None
 
 
 @dataclass(frozen=True)
@@ -42,7 +43,12 @@ class Sliced:
         return Sliced(df, self.by, self.has_hot)
 
 
-def hot_keys(df: DataFrame, keys: tuple[str, ...], hot_rows: int) -> DataFrame:
+def hot_mark(df: DataFrame, hot_rows: int | None) -> int:
+    """Rows above which a key is cut: as given, as set for the session, or the default."""
+    return hot_rows if hot_rows is not None else int(df.sparkSession.conf.get("coverlane.hotRows", str(HOT_ROWS)))
+
+
+def hot_keys(df: DataFrame, keys: tuple[str, ...], hot_rows: int | None = None) -> DataFrame:
     """The largest keys above the mark: at most ``MAX_HOT_KEYS`` rows by construction.
 
     A key that falls off this list only loses the slicing, never a row.
@@ -50,7 +56,7 @@ def hot_keys(df: DataFrame, keys: tuple[str, ...], hot_rows: int) -> DataFrame:
     return (
         df.groupBy(*keys)
         .count()
-        .filter(F.col("count") > hot_rows)
+        .filter(F.col("count") > hot_mark(df, hot_rows))
         .orderBy(F.desc("count"), *keys)
         .limit(MAX_HOT_KEYS)
         .select(*keys)

@@ -35,7 +35,7 @@ LOGIN, LIVE, LATE, NONE, RESET = "login", "live", "late", "none", "reset"
 
 
 def phases(df: DataFrame, key: str, ttl: float, keep: tuple[str, ...] = (),
-           hot_rows: int = ordered.HOT_ROWS) -> DataFrame:
+           hot_rows: int | None = None) -> DataFrame:
     """Add ``phase``, ``login_t`` and ``login_seq`` to every row that has a key.
 
     ``df`` carries the key, ``t`` (microseconds), ``seq`` (unique within the key), the
@@ -86,7 +86,7 @@ def _fold_partitions(steps: DataFrame, key: str, ttl_micros: int) -> DataFrame:
     return ready.mapInPandas(fold, f"struct<{out}>")
 
 
-def _phases_by_joins(steps: DataFrame, key: str, ttl_micros: int, hot_rows: int) -> DataFrame:
+def _phases_by_joins(steps: DataFrame, key: str, ttl_micros: int, hot_rows: int | None) -> DataFrame:
     shared_dir(steps.sparkSession)
     by_key = ordered.Ordering((key,), ("t", "seq"), F.floor(F.col("t") / (HOT_SLICE_SECONDS * 1_000_000)), hot_rows)
     resets = F.col("reset").cast("long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from coverlane.operators import catalog, matching, plugins, upsert
-from coverlane.plans.registry import query, table
+from coverlane.plans.registry import query, spread_table, table
 
 PAGE = 40
 
@@ -135,7 +135,7 @@ UNION ALL
 SELECT md5(concat(tag, '-', pos)), invoice_id, insurer_id, doc_id, policy_no, dependent_no, 1 FROM src
 WHERE invoice_id = 0 OR insurer_id = 0""")
 def upsert_orders(spark, sf_dir):
-    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    orders, lines = table(spark, sf_dir, "orders"), spread_table(spark, sf_dir, "lineitem")
     blank = {c: F.lit("") for c in ("first_name", "second_name", "first_surname", "second_surname")}
     target = orders.select(
         F.concat(F.lit("T"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0")).alias("id"),

@@ -11,10 +11,10 @@ from coverlane.plans.registry import query, table
 HOUR, DAY = 3600, 86400
 
 
-def by_user(events, hot_rows: int = ordered.HOT_ROWS) -> ordered.Ordering:
+def by_user(events) -> ordered.Ordering:
     """Events of a user in time order; a user with very many events is cut by minute."""
     minute = F.floor(text.micros(events, "ts") / 60_000_000)
-    return ordered.Ordering(("user_id",), ("ts", "event_id"), minute, hot_rows)
+    return ordered.Ordering(("user_id",), ("ts", "event_id"), minute)
 
 
 def _walk(steps: str, tail: str) -> str:

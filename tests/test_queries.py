@@ -23,3 +23,13 @@ def test_driver_contract(spark):
     assert set(driver.oracle_sql()) <= set(driver.queries())
     assert set(CHECKS) == set(QUERIES)
     assert "policy_no" in driver.entry(spark).columns
+
+
+@pytest.mark.parametrize("name", ["alerts", "catalog_nested", "nav_changes", "nav_first_change", "session_ttl"])
+def test_query_with_every_key_heavy(spark, db, name):
+    """The same rows when each key is above the mark and goes the long way."""
+    spark.conf.set("coverlane.hotRows", "20")
+    try:
+        assert check.compare(spark, db, SF, name) is None
+    finally:
+        spark.conf.unset("coverlane.hotRows")
