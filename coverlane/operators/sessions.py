@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coverlane.operators import ordered
-from coverlane.session import shared_dir
+from coverlane.session import settle
 
 STEP_COLUMNS = ("t", "seq", "opens", "closes", "reset")
 Point = tuple[int, int]
@@ -87,11 +87,10 @@ def _fold_partitions(steps: DataFrame, key: str, ttl_micros: int) -> DataFrame:
 
 
 def _phases_by_joins(steps: DataFrame, key: str, ttl_micros: int, hot_rows: int | None) -> DataFrame:
-    shared_dir(steps.sparkSession)
     by_key = ordered.Ordering((key,), ("t", "seq"), F.floor(F.col("t") / (HOT_SLICE_SECONDS * 1_000_000)), hot_rows)
     resets = F.col("reset").cast("long")
     numbered = ordered.running_total(ordered.cut_hot(steps, by_key), resets, "era").df
-    numbered = numbered.drop(ordered.SLICE).checkpoint()
+    numbered = settle(numbered.drop(ordered.SLICE), "session-rows")
     # Between two resets ("era") a session ends by age only, and eras do not touch.
     by_era = ordered.Ordering((key, "era"), ("t", "seq"), by_key.cut, hot_rows)
     rows = ordered.cut_hot(numbered.filter(~F.col("reset")), by_era)
@@ -105,9 +104,9 @@ def _phases_by_joins(steps: DataFrame, key: str, ttl_micros: int, hot_rows: int
         F.lit(None).cast(closers.schema["end"].dataType).alias("end"), F.col("seq").alias("of"))
     ends = ordered.cut_hot(closers.unionByName(probes), by_era)
     found = ordered.next_seen(ends, F.col("end"), F.col("of").isNull(), "found").df
-    links = found.filter(F.col("of").isNotNull()).select(
+    links = settle(found.filter(F.col("of").isNotNull()).select(
         key, "era", F.col("of").alias("seq"), F.col("found.at").alias("closed"),
-        F.col("found.next_open.seq").alias("to")).checkpoint()
+        F.col("found.next_open.seq").alias("to")), "session-links")
 
     # The first row of an era that can log in does so.
     first = rows.df.filter("opens").groupBy(key, "era").agg(F.min(point)["seq"].alias("seq"))
@@ -144,11 +143,12 @@ def _follow(first: DataFrame, links: DataFrame, key: str, rounds: int) -> DataFr
     jumps = [links]
     for _ in range(rounds - 1):
         ahead = jumps[-1].select(key, "era", F.col("seq").alias("to"), F.col("to").alias("far"))
-        jumps.append(jumps[-1].join(ahead, [key, "era", "to"]).select(*on, F.col("far").alias("to")).checkpoint())
+        further = jumps[-1].join(ahead, [key, "era", "to"]).select(*on, F.col("far").alias("to"))
+        jumps.append(settle(further, "session-jumps"))
     reached = first
     for jump in reversed(jumps):
         step = reached.join(jump, on).select(key, "era", F.col("to").alias("seq"))
-        reached = reached.unionByName(step).checkpoint()
+        reached = settle(reached.unionByName(step), "session-logins")
     return reached
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from coverlane.functions import text
 from coverlane.schemas import NAME_PARTS
-from coverlane.session import shared_dir
+from coverlane.session import settle
 
 KEY = ("invoice_id", "insurer_id")
 ORDER = ("delivery_tag", "pos")
@@ -37,14 +37,13 @@ def changes(source: DataFrame, target: DataFrame, now: Column | None = None) ->
     ``source`` holds matched clients only: key, order, identity and value columns. Its
     outcome per key is written to the shared folder once, since both results read it.
     """
-    shared_dir(source.sparkSession)
     at = F.struct(*ORDER)
     per_key = source.groupBy(*_slot(_keyed())).agg(
         F.min_by(F.struct(*KEY, *ORDER, *IDENTITY), at).alias("first"),
         F.max_by(F.struct(*VALUES), at).alias("last"))
     existing = target.filter((F.col("status") == ACTIVE) & _keyed()).groupBy(*KEY).agg(F.min("id").alias("id"))
     existing = existing.select(F.lit(True).alias("_keyed"), F.col(KEY[0]).alias("_a"), F.col(KEY[1]).alias("_b"), "id")
-    decided = per_key.join(existing, ["_keyed", "_a", "_b"], "left").select("id", "first", "last").checkpoint()
+    decided = settle(per_key.join(existing, ["_keyed", "_a", "_b"], "left").select("id", "first", "last"), "upsert")
     updates = decided.filter(F.col("id").isNotNull()).select("id", "last.*")
     fresh = decided.filter(F.col("id").isNull()).select("first.*", "last.*")
     return updates, insert_rows(fresh, now if now is not None else F.current_timestamp())
