@@ -18,15 +18,17 @@ def first_per_name(catalog: DataFrame) -> DataFrame:
     return best.select("c.*")
 
 
-def enrich(messages: DataFrame, catalog: DataFrame, name: str = "insurer_name") -> DataFrame:
+def enrich(messages: DataFrame, catalog: DataFrame, name: str = "insurer_name", how: str = "inner") -> DataFrame:
     """Messages that have a catalog row, with that row as the struct ``catalog``.
 
+    With ``how="left"`` the others stay too, with a null struct.
+
     Spark broadcasts the catalog when its measured size allows and otherwise joins by
     shuffle, where adaptive execution splits a name that dominates the messages.
     """
     single = first_per_name(catalog)
     boxed = single.select(F.col("name").alias(name), F.struct(*single.columns).alias("catalog"))
-    return messages.join(boxed, name)
+    return messages.join(boxed, name, how)
 
 
 def unmatched(messages: DataFrame, catalog: DataFrame, name: str = "insurer_name") -> DataFrame:

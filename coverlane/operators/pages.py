@@ -95,6 +95,14 @@ def inventory(parsed: DataFrame, kinds: dict[str, str] = KINDS) -> DataFrame:
     return parsed.select("page_id", *[F.size(html.select(els, s)).alias(n) for n, s in kinds.items()])
 
 
+def first_elements(parsed: DataFrame, selector: str, n: int = 5) -> DataFrame:
+    """The first few elements of a kind on each page, with their attributes and text."""
+    els = F.col("els")
+    shown = F.transform(F.slice(html.select(els, selector), 1, n), lambda e: F.struct(
+        e["tag"].alias("tag"), e["attrs"].alias("attrs"), html.text_of(els, e, " ").alias("label")))
+    return _unfold(parsed.select("page_id", F.posexplode_outer(shown).alias("pos", "element")), "pos").select("page_id", "pos", "element.*")
+
+
 def error_banner(parsed: DataFrame, selector: str = BANNER, words: list[str] = AUTH_WORDS) -> DataFrame:
     """Texts of the first two banner elements, and whether they speak of sign-in errors."""
     els = F.col("els")

@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from coverlane.operators import catalog, matching, messages, pages, upsert
+from coverlane.functions import text
+from coverlane.operators import catalog, matching, messages, pages, reports, sessions, upsert
 from coverlane.plans.catalog import portal_catalog
+from coverlane.plans.logs import walk_sql
 from coverlane.plans.pages import result_pages
 from coverlane.plans.registry import query, spread_table, table
+from coverlane.session import settle
 
 # One message per order; urgent orders name a stored invoice, high ones carry no ids,
-# medium ones come inside a batch with a second client who is not in the catalog.
+# medium ones come inside a batch with a second client who is not in the catalog, the
+# unspecified lack a document number, and the low ones are no valid JSON.
 CLIENT = """concat('{"NombreCompleto":"NATION_', o_custkey % 30, '","IdFactura":', CASE o_orderpriority WHEN '1-URGENT' THEN CAST(o_custkey AS VARCHAR(20))
    WHEN '2-HIGH' THEN 'null' ELSE CAST(1000000000 + o_custkey AS VARCHAR(20)) END,
- ',"IdAseguradora":7,"NumDocIdentidad":"', o_custkey, '","PersonaPrimerNombre":" CUSTOMER#', lpad(CAST(o_custkey AS VARCHAR(20)), 9, '0'), '"}')"""
+ ',"IdAseguradora":7,"FechaProcesamiento":"', CAST(CAST(o_orderdate AS DATE) AS VARCHAR(10)), '","NumDocIdentidad":"',
+ CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN '' ELSE CAST(o_custkey AS VARCHAR(20)) END, '","PersonaPrimerNombre":" CUSTOMER#', lpad(CAST(o_custkey AS VARCHAR(20)), 9, '0'), '"}')"""
 BODY = f"""CASE WHEN o_orderpriority = '3-MEDIUM' THEN concat('{{"Clientes":[', {CLIENT}, ',{{"NombreCompleto":"NOBODY"}}],"Origen":"x"}}')
  WHEN o_orderpriority = '5-LOW' THEN concat({CLIENT}, ' junk') ELSE {CLIENT} END"""
 
@@ -45,7 +50,7 @@ def matched_clients(spark, sf_dir):
 WITH m AS (SELECT o_orderkey AS tag, o_custkey, CASE o_orderpriority WHEN '1-URGENT' THEN o_custkey WHEN '2-HIGH' THEN NULL
     ELSE 1000000000 + o_custkey END AS invoice_id, c_nationkey
   FROM orders JOIN customer ON c_custkey = o_custkey
-  WHERE o_orderpriority <> '5-LOW' AND o_custkey % 30 < 25 AND c_acctbal > 5000),
+  WHERE o_orderpriority NOT IN ('4-NOT SPECIFIED', '5-LOW') AND o_custkey % 30 < 25 AND c_acctbal > 5000),
 s AS (SELECT tag, invoice_id, 7 AS insurer_id, CAST(o_custkey AS VARCHAR) AS doc_id, concat(' CUSTOMER#', lpad(CAST(o_custkey AS VARCHAR), 9, '0')) AS first_name,
   CAST(o_custkey AS VARCHAR) AS policy_no, concat('C', c_nationkey) AS dependent_no FROM m),
 keyed AS (SELECT invoice_id, min(tag) AS tag, any_value(doc_id) AS doc_id, any_value(first_name) AS first_name,
@@ -60,3 +65,36 @@ UNION ALL SELECT md5(concat(tag, '-0')), invoice_id, doc_id, first_name, policy_
 def membership_check(spark, sf_dir):
     after = upsert.upsert(matched_clients(spark, sf_dir), invoice_table(spark, sf_dir), F.lit(None).cast("timestamp"))
     return after.select("id", "invoice_id", "doc_id", "first_name", "policy_no", "dependent_no", F.col("status").cast("int").alias("status"))
+
+
+WEEK = 7 * 86400
+
+
+@query("membership_outcomes", walk_sql(f"""
+SELECT o_custkey % 30 AS user_id, {WEEK} AS ttl, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) * 86400000000 AS t,
+  o_orderkey * 1000 AS seq, true AS opens, o_orderpriority <> '4-NOT SPECIFIED' AS closes, false AS reset
+FROM orders JOIN nation ON n_name = concat('NATION_', o_custkey % 30) WHERE n_regionkey < 2 AND o_orderpriority <> '5-LOW'""", """
+SELECT o_orderkey AS delivery_tag, 0 AS pos, CASE WHEN n_name IS NULL THEN 'no_url' WHEN n_regionkey >= 2 THEN 'ok' WHEN w.phase = 'login' THEN 'ok'
+  WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'capture_failed' ELSE 'ok' END AS outcome
+FROM orders LEFT JOIN nation ON n_name = concat('NATION_', o_custkey % 30) LEFT JOIN walk w ON w.user_id = o_custkey % 30 AND w.seq = o_orderkey * 1000
+WHERE o_orderpriority <> '5-LOW'
+UNION ALL SELECT o_orderkey, 1, 'no_url' FROM orders WHERE o_orderpriority = '3-MEDIUM'"""))
+def membership_outcomes(spark, sf_dir):
+    """What became of each client of the inbox: insurers of two regions keep a portal
+    session for a week, and a client without document number cannot be captured."""
+    clients = messages.typed(messages.flatten(messages.parse(inbox(spark, sf_dir))))
+    known = catalog.enrich(clients, portal_catalog(spark, sf_dir), how="left")
+    rows = known.select(
+        "delivery_tag", "pos", "insurer_name", F.col("catalog").isNotNull().alias("has_url"),
+        F.coalesce(F.col("catalog.description").cast("int") < 2, F.lit(False)).alias("needs_session"),
+        (F.unix_date(F.to_date("processed_on")).cast("long") * 86_400_000_000).alias("t"),
+        (F.col("delivery_tag") * 1000 + F.col("pos")).alias("seq"), F.lit(True).alias("opens"),
+        reports.can_capture(F.lit(1), F.col("doc_id")).alias("closes"), F.lit(False).alias("reset"))
+    # Read three times below (heavy keys, the fold, the rest), parsed once.
+    rows = settle(rows, "clients")
+    in_session = text.has_value("insurer_name") & F.col("has_url") & F.col("needs_session")
+    held = sessions.phases(rows.filter(in_session), "insurer_name", WEEK, keep=("delivery_tag", "pos", "has_url", "needs_session"))
+    rest = rows.filter(~in_session).withColumn("phase", F.lit(sessions.NONE))
+    every = held.unionByName(rest, allowMissingColumns=True)
+    result = reports.outcome(F.col("insurer_name"), F.col("has_url"), F.col("needs_session"), F.col("phase"), F.col("closes"))
+    return every.select("delivery_tag", "pos", result.alias("outcome"))

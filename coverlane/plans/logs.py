@@ -17,7 +17,7 @@ def by_user(events) -> ordered.Ordering:
     return ordered.Ordering(("user_id",), ("ts", "event_id"), minute)
 
 
-def _walk(steps: str, tail: str) -> str:
+def walk_sql(steps: str, tail: str) -> str:
     """The session rules walked row by row for each ``(user_id, ttl)``."""
     return f"""
 WITH RECURSIVE steps AS ({steps}),
@@ -54,7 +54,7 @@ def _steps(events):
         (F.col("event_type") != "error").alias("closes"), (F.col("event_type") == "signup").alias("reset"))
 
 
-@query("session_ttl", _walk(STEPS_SQL, SUMMARY_SQL))
+@query("session_ttl", walk_sql(STEPS_SQL, SUMMARY_SQL))
 def session_ttl(spark, sf_dir):
     """Sessions of each user for two lifetimes; sign-ups drop the session."""
     steps = _steps(table(spark, sf_dir, "events"))
@@ -62,7 +62,7 @@ def session_ttl(spark, sf_dir):
     return runs[0].unionByName(runs[1]).select("ttl", "user_id", "login_t", "login_seq", "n_rows", "late_seq", "last_t")
 
 
-@query("active_sessions", _walk(STEPS_SQL, """
+@query("active_sessions", walk_sql(STEPS_SQL, """
 SELECT user_id, live_t AS login_t FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rn DESC) AS back FROM walk WHERE ttl = 86400)
 WHERE back = 1 AND live_t IS NOT NULL"""))
 def active_sessions(spark, sf_dir):
@@ -70,7 +70,7 @@ def active_sessions(spark, sf_dir):
     return sessions.active_at_end(sessions.phases(steps, "user_id", DAY), "user_id")
 
 
-@query("nav_dwell", _walk("""SELECT user_id, ttl, epoch_us(ts) AS t, event_id AS seq, event_type = 'error' AS opens,
+@query("nav_dwell", walk_sql("""SELECT user_id, ttl, epoch_us(ts) AS t, event_id AS seq, event_type = 'error' AS opens,
  event_type = 'error' AS closes, event_type = 'click' AS reset FROM events, (VALUES (30), (86400)) v(ttl) WHERE event_type IN ('error', 'click')""",
     """SELECT ttl, user_id, count(*) FILTER (WHERE phase = 'login') AS n_started, count(*) FILTER (WHERE phase = 'late') AS n_fired,
  max(CASE WHEN phase = 'late' THEN seq END) AS last_fired FROM walk GROUP BY 1, 2"""))
@@ -92,7 +92,7 @@ def nav_dwell(spark, sf_dir):
 NAME_SQL = "CASE WHEN event_type = 'view' THEN '' ELSE event_type END"
 
 
-@query("outcomes", _walk("""SELECT user_id, 86400 AS ttl, epoch_us(ts) AS t, event_id AS seq, value >= 20 AS opens,
+@query("outcomes", walk_sql("""SELECT user_id, 86400 AS ttl, epoch_us(ts) AS t, event_id AS seq, value >= 20 AS opens,
  event_type = 'click' OR (event_type <> 'error' AND value <= 300) AS closes, false AS reset FROM events WHERE event_type NOT IN ('view', 'purchase') AND value >= 1""", f"""
 SELECT e.event_id, CASE WHEN {NAME_SQL} = '' THEN 'no_name' WHEN e.value < 1 THEN 'no_url' WHEN e.event_type = 'purchase' THEN 'ok'
   WHEN w.phase = 'login' THEN 'ok' WHEN w.phase = 'none' THEN 'login_failed'

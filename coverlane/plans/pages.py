@@ -84,6 +84,16 @@ def element_inventory(spark, sf_dir):
                          F.col("fast").cast("long").alias("fast_paragraphs"))
 
 
+@query("element_list", f"""
+WITH a AS (SELECT page_id, regexp_extract_all({NOISE_SQL}, '(?s)<a href=".*?</a>') AS found FROM pages),
+n AS (SELECT page_id, found, unnest(generate_series(1, least(5, len(found)))) AS i FROM a)
+SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, regexp_extract(found[i], 'href="([^"]*)"', 1) AS href, regexp_replace(found[i], '<[^>]*>', '', 'g') AS label FROM n""")
+def element_list(spark, sf_dir):
+    """The first five links of each page."""
+    found = pages.first_elements(pages.with_elements(spread_table(spark, sf_dir, "pages")), "a")
+    return found.select("page_id", "pos", F.col("attrs")["href"].alias("href"), "label")
+
+
 @query("error_banner", f"""
 SELECT page_id, {AD_SQL} AS banner, lower({AD_SQL}) LIKE '%the%' OR lower({AD_SQL}) LIKE '%der%' AS auth_error FROM pages""")
 def error_banner(spark, sf_dir):
