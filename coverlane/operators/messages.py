@@ -79,15 +79,16 @@ def flatten(parsed: DataFrame) -> DataFrame:
     Both message types go through one generator, so the inbox is read once. Header
     fields of a batch are not copied to its clients.
     """
-    units = F.when(F.col("route") == SINGLE, F.array("text")).when(F.col("route") == BATCH, F.col("clients"))
-
     def read(client: Column) -> Column:
         fields = F.from_json(client, MAP_TYPE, JSON_OPTIONS)
         return F.struct(client.alias("client"), F.when(F.ltrim(client).startswith("{"), fields).alias("fields"))
 
+    alone = F.array(F.struct(F.col("text").alias("client"), F.col("fields")))
+    units = F.when(F.col("route") == SINGLE, alone).when(F.col("route") == BATCH, F.transform("clients", read))
+
     # Parsed inside the generator, and an outer one: filters on the fields then stay above
     # it, so that each client's text is parsed once.
-    rows = parsed.select("delivery_tag", "route", F.posexplode_outer(F.transform(units, read)).alias("pos", "one"))
+    rows = parsed.select("delivery_tag", "route", F.posexplode_outer(units).alias("pos", "one"))
     return rows.filter(F.col("pos").isNotNull()).select("delivery_tag", "route", "pos", "one.client", "one.fields")
 
 
