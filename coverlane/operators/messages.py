@@ -28,12 +28,15 @@ def is_json(body: Column) -> Column:
     """True if the text is exactly one JSON value.
 
     ``from_json`` alone stops after the first value, so the text is read as the only
-    element of a list: trailing junk then breaks the list or makes it longer.
+    element of a list: trailing junk then breaks the list or makes it longer. Text that
+    closes the list itself and opens another key must also hold as the member of an
+    object, which it cannot close with the same bracket.
     """
-    wrapped = F.from_json(
-        F.concat(F.lit('{"x":['), body, F.lit("]}")),
-        "struct<x:array<string>,_corrupt_record:string>", JSON_OPTIONS)
-    return F.coalesce(wrapped["_corrupt_record"].isNull() & (F.size(wrapped["x"]) == 1), F.lit(False))
+    listed = F.from_json(F.concat(F.lit('{"x":['), body, F.lit("]}")), "struct<x:array<string>,_corrupt_record:string>", JSON_OPTIONS)
+    member = F.from_json(F.concat(F.lit('{"x":{"y":'), body, F.lit("}}")), "struct<x:string,_corrupt_record:string>", JSON_OPTIONS)
+    one = listed["_corrupt_record"].isNull() & (F.size(listed["x"]) == 1)
+    may_close = F.rlike(body, F.lit(r'\][ \t\r\n]*,[ \t\r\n]*"'))
+    return F.coalesce(F.when(one, ~may_close | member["_corrupt_record"].isNull()), F.lit(False))
 
 
 def _mark(body: Column) -> Column:

@@ -11,12 +11,13 @@ LINE_SCHEMA = "delivery_tag long, attempt int, body string"
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Even out a scan before costly per-row work, if it has fewer splits than cores.
+    """Even out a scan before costly per-row work, where most cores would stay idle.
 
-    A large input has more splits than cores and is left as it is, without a shuffle.
+    That is so for a few splits only, thus for little data. A larger input is left as it
+    is, without a shuffle.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() * 4 <= cores else rows
 
 
 def message_files(spark: SparkSession, path: str) -> DataFrame:

@@ -29,6 +29,10 @@ BODIES = {
     b'{"a":1}{"b":2}': ("bad_json", "ack"),
     b"{'a':1}": ("bad_json", "ack"),
     b"{broken": ("bad_json", "ack"),
+    b'1],"y":[2': ("bad_json", "ack"),
+    b'{"NombreCompleto":"A"}],"x":[{}': ("bad_json", "ack"),
+    b'{"Clientes":[1],"b":[2],"c":"],"}': ("batch", "ack"),
+    b'1,"z":2': ("bad_json", "ack"),
     b'{"NombreCompleto":"a","NombreCompleto":"b"}': ("single", "ack"),
     b'\xff\xfe{"a":1}': ("rejected", "dead_letter"),
     '{"NombreCompleto":"PEÑA"}'.encode("latin-1"): ("rejected", "dead_letter"),

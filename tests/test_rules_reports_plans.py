@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from coverlane.operators import catalog, plugins, reports, rules
 from coverlane.plans import QUERIES
+from coverlane.sources import files
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,6 +19,27 @@ def test_required_settings(spark):
     assert "RABBITMQ_ROUTING_KEY" not in rules.REQUIRED_TEXT
 
 
+def test_id_and_length_limits(spark):
+    df = spark.createDataFrame([("12", "x" * 26), ("1a", "x"), (None, None)], "invoice_id string, doc_id string")
+    ids = [r[0] for r in df.select(rules.id_errors(["invoice_id"])).collect()]
+    assert ids == [[], ["invoice_id is not a number"], []]
+    good, bad = rules.split_rejects(df, rules.limit_errors(df))
+    assert good.count() == 2 and bad.first()["errors"] == ["doc_id is longer than 25"]
+
+
+def test_capture_needs_a_document_number(spark):
+    df = spark.createDataFrame([(0, ""), (2, ""), (2, None), (2, "1"), (None, None)], "n int, doc string")
+    assert [r[0] for r in df.select(reports.can_capture(F.col("n"), F.col("doc"))).collect()] == [True, False, False, True, True]
+
+
+def test_small_scans_are_spread_and_larger_ones_are_not(spark):
+    pages = files.captured_pages(spark, f"{SF}/pages.parquet")
+    assert pages.columns == ["page_id", "url", "html"]
+    assert files.spread(pages).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    wide = pages.repartition(5)
+    assert files.spread(wide).rdd.getNumPartitions() == 5
+
+
 def test_outcome_depends_on_fresh_login(spark):
     cases = [("", True, True, "login", True), ("A", False, True, "live", True), ("A", True, False, "none", False), ("A", True, True, "login", False),
              ("A", True, True, "live", False), ("A", True, True, "late", True), ("A", True, True, "none", True), (None, True, True, "live", True)]
