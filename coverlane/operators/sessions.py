@@ -10,8 +10,9 @@ Rules, row by row in ``(t, seq)`` order per key:
 The same fold is the stay timer of an intermediate page (lifetime 30 s, clicks as
 resets). Ordinary keys are folded in one streaming pass over sorted partitions that
 remembers a single login time, so no group is ever held in memory. Keys above
-``hot_rows`` are solved by joins instead: each possible login knows the login that
-would follow it, and repeated doubling of that link marks the ones that happen.
+``hot_rows`` (by default ten times the mark of ``ordered``) are solved by joins instead:
+each possible login knows the login that would follow it, and repeated doubling of that
+link marks the ones that happen.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ STEP_COLUMNS = ("t", "seq", "opens", "closes", "reset")
 Point = tuple[int, int]
 AFTER_ALL = 2**63 - 1
 HOT_SLICE_SECONDS = 60
+# The fold holds no rows and goes on for longer than a window before the joins pay off.
+FOLD_SHARE = 10
 
 LOGIN, LIVE, LATE, NONE, RESET = "login", "live", "late", "none", "reset"
 
@@ -43,7 +46,8 @@ def phases(df: DataFrame, key: str, ttl: float, keep: tuple[str, ...] = (),
     """
     steps = df.filter(F.col(key).isNotNull()).select(key, *STEP_COLUMNS, *keep)
     ttl_micros = round(ttl * 1_000_000)
-    hot = ordered.hot_keys(steps, (key,), hot_rows).collect()
+    mark = hot_rows if hot_rows is not None else FOLD_SHARE * ordered.hot_mark(steps, None)
+    hot = ordered.hot_keys(steps, (key,), mark).collect()
     if not hot:
         return _fold_partitions(steps, key, ttl_micros)
     marked = F.broadcast(df.sparkSession.createDataFrame(hot, steps.select(key).schema))

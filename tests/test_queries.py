@@ -28,7 +28,7 @@ def test_driver_contract(spark):
 @pytest.mark.parametrize("name", ["alerts", "catalog_nested", "nav_changes", "nav_first_change", "session_ttl"])
 def test_query_with_every_key_heavy(spark, db, name):
     """The same rows when each key is above the mark and goes the long way."""
-    spark.conf.set("coverlane.hotRows", "20")
+    spark.conf.set("coverlane.hotRows", "5")
     try:
         assert check.compare(spark, db, SF, name) is None
     finally:
