@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,11 +15,17 @@ SETTINGS = {
 }
 
 
-def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "coverlane") -> SparkSession:
-    """A session for tests and the benchmark; a cluster job brings its own."""
+def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "coverlane",
+                  shared: str | None = None) -> SparkSession:
+    """A session for tests and the benchmark; a cluster job brings its own.
+
+    ``shared`` becomes ``spark.checkpoint.dir``.
+    """
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
     spark = (
         builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.ui.enabled", "false")
@@ -33,13 +38,10 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "cov
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; set only where nothing is set."""
+    """The folder named by ``spark.checkpoint.dir``, which driver and executors share."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="coverlane-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return folder
 
 

@@ -9,8 +9,8 @@ from coverlane.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session("8", shuffle_partitions=4, app="tests")
+def spark(tmp_path_factory):
+    session = local_session("8", shuffle_partitions=4, app="tests", shared=str(tmp_path_factory.mktemp("shared")))
     session.conf.set("spark.sql.streaming.stateStore.providerClass",
                      "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     return session
