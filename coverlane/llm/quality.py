@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from coverlane.llm.registry import WORD, query, table
 
@@ -86,7 +87,7 @@ def text_stats(text: str | None) -> tuple[int, ...]:
             len(set(words)), same, upper, sum(map(text.count, "0123456789")), text.count("!"))
 
 
-@F.pandas_udf(", ".join(f"{name} long" for name in STATS))
+@F.pandas_udf(T.StructType([T.StructField(name, T.LongType()) for name in STATS]))
 def _stats(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in texts:
         yield pd.DataFrame([text_stats(text) for text in batch], columns=list(STATS), dtype="int64")
