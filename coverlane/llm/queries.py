@@ -1,6 +1,6 @@
 """All queries of this subpackage and their SQL checks."""
 
-from coverlane.llm import chat, packing, quality, simhash, toxicity, urls  # noqa: F401  each module registers its queries
+from coverlane.llm import chat, packing, passages, quality, simhash, toxicity, urls  # noqa: F401  each module registers its queries
 from coverlane.llm.registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]
