@@ -139,12 +139,15 @@ def make_tasks(urls: DataFrame, rendered: Column | None = None, selectors: Colum
 
 
 def read_tasks(inbox: DataFrame, attempt: Column | None = None, max_attempts: int | None = None) -> DataFrame:
-    """Parse scrape tasks and decide on each: ack, drop (bad JSON) or retry (no url).
+    """Parse scrape tasks and decide on each: ack, drop (no JSON) or retry (everything else that fails).
 
-    With ``max_attempts`` a retry that has used up its attempts becomes a dead letter.
+    Retried are JSON values other than objects, bodies that are null or no UTF-8, and tasks
+    without url. With ``max_attempts`` a retry that has used up its attempts becomes a dead letter.
     """
-    step = inbox.withColumn("fields", F.when(is_json(F.col("body").cast("string")),
-                                             F.from_json(F.col("body").cast("string"), MAP_TYPE, JSON_OPTIONS)))
+    body = F.col("body").cast("string")
+    readable = F.is_valid_utf8(body) if isinstance(inbox.schema["body"].dataType, T.BinaryType) else body.isNotNull()
+    step = inbox.withColumn("_json", F.when(readable, is_json(body)))
+    step = step.withColumn("fields", F.when(F.col("_json") & (_mark(body) == "{"), F.from_json(body, MAP_TYPE, JSON_OPTIONS)))
     again = F.lit(RETRY)
     if max_attempts is not None:
         tries = attempt if attempt is not None else F.lit(0)
@@ -155,7 +158,7 @@ def read_tasks(inbox: DataFrame, attempt: Column | None = None, max_attempts: in
         url.alias("url"),
         text.flag(text.field("fields", "use_selenium", "false")).alias("rendered"),
         F.from_json(text.field("fields", "selectors", "{}"), MAP_TYPE).alias("selectors"),
-        F.when(F.col("fields").isNull(), DROP).when(~text.has_value(url), again).otherwise(ACK).alias("disposition"))
+        F.when(~F.col("_json"), DROP).when(F.col("fields").isNull() | ~text.has_value(url), again).otherwise(ACK).alias("disposition"))
 
 
 def scrape_records(scraped: DataFrame, started: Column, finished: Column) -> DataFrame:

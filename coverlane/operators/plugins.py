@@ -15,7 +15,9 @@ Processor = Callable[[DataFrame], DataFrame]
 def apply(df: DataFrame, code: str, processors: dict[str, Processor]) -> DataFrame:
     """Run each processor on the rows of its code and put the results together.
 
-    Filters on the code reach the scan, so each branch reads only its own rows.
+    Filters on the code reach the scan, so each branch reads only its own rows. Rows of a
+    code without processor, or without code, come back as they are, in the columns that
+    the processors return, with nulls in those that they add.
     """
     out = None
     for name, processor in processors.items():
@@ -23,7 +25,9 @@ def apply(df: DataFrame, code: str, processors: dict[str, Processor]) -> DataFra
         out = part if out is None else out.unionByName(part)
     if out is None:
         raise ValueError("no processors given")
-    return out
+    known = F.coalesce(F.col(code).isin(*processors), F.lit(False))
+    rest = df.filter(~known)
+    return out.unionByName(rest.select(*[c for c in out.columns if c in df.columns]), allowMissingColumns=True)
 
 
 def listing(registry: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,7 +56,9 @@ def alerts(runs: DataFrame, by: ordered.Ordering, ok: Column, seconds: Column,
     rates = runs.groupBy(*keys).agg(
         F.avg(ok.cast("int")).alias("_rate"), F.max(seconds).alias("max_seconds"))
     runs_of_failures = ordered.longest_runs(ordered.cut_hot(runs, by), ~ok)
-    return rates.join(runs_of_failures, keys).select(
+    other = runs_of_failures.select(*[F.col(k).alias(f"_{k}") for k in keys], "longest_run")
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return rates.join(other, same).select(
         *keys, F.round("_rate", 6).alias("success_rate"), "max_seconds", "longest_run",
         (F.col("_rate") < min_rate).alias("rate_alert"),
         (F.col("max_seconds") > max_seconds).alias("duration_alert"),

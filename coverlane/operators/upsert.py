@@ -2,17 +2,16 @@
 
 Messages are handled one by one in order, and a later message can update what an
 earlier one inserted. Per key that comes down to: identity from the first message,
-policy values from the last. So the whole batch is one aggregation and two joins.
+policy values from the last. So the whole batch is one aggregation and one join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coverlane.functions import text
 from coverlane.schemas import NAME_PARTS
-from coverlane.session import settle
 
 KEY = ("invoice_id", "insurer_id")
 ORDER = ("delivery_tag", "pos")
@@ -25,28 +24,25 @@ def _keyed() -> Column:
     return text.has_id(KEY[0]) & text.has_id(KEY[1])
 
 
-def _slot(keyed: Column) -> list[Column]:
-    """Grouping columns: the key, or the message itself where a message has no key."""
-    pairs = zip(("_a", "_b"), KEY, ORDER)
-    return [keyed.alias("_keyed"), *[F.when(keyed, F.col(k)).otherwise(F.col(o).cast("bigint")).alias(n) for n, k, o in pairs]]
+def _reduced(source: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per key the identity of its first message and the values of its last; and the messages without key."""
+    at = F.struct(*ORDER)
+    per_key = source.filter(_keyed()).groupBy(*KEY).agg(
+        F.min_by(F.struct(*ORDER, *IDENTITY), at).alias("first"), F.max_by(F.struct(*VALUES), at).alias("last"))
+    return per_key, source.filter(~_keyed()).select(*KEY, *ORDER, *IDENTITY, *VALUES)
 
 
 def changes(source: DataFrame, target: DataFrame, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """The updates (``id`` and new values) and the rows to insert.
 
-    ``source`` holds matched clients only: key, order, identity and value columns. Its
-    outcome per key is written to the shared folder once, since both results read it.
+    ``source`` holds matched clients only: key, order, identity and value columns.
     """
-    at = F.struct(*ORDER)
-    per_key = source.groupBy(*_slot(_keyed())).agg(
-        F.min_by(F.struct(*KEY, *ORDER, *IDENTITY), at).alias("first"),
-        F.max_by(F.struct(*VALUES), at).alias("last"))
+    per_key, alone = _reduced(source)
     existing = target.filter((F.col("status") == ACTIVE) & _keyed()).groupBy(*KEY).agg(F.min("id").alias("id"))
-    existing = existing.select(F.lit(True).alias("_keyed"), F.col(KEY[0]).alias("_a"), F.col(KEY[1]).alias("_b"), "id")
-    decided = settle(per_key.join(existing, ["_keyed", "_a", "_b"], "left").select("id", "first", "last"), "upsert")
+    decided = per_key.join(existing, list(KEY), "left")
     updates = decided.filter(F.col("id").isNotNull()).select("id", "last.*")
-    fresh = decided.filter(F.col("id").isNull()).select("first.*", "last.*")
-    return updates, insert_rows(fresh, now if now is not None else F.current_timestamp())
+    fresh = decided.filter(F.col("id").isNull()).select(*KEY, "first.*", "last.*")
+    return updates, insert_rows(fresh.unionByName(alone), now if now is not None else F.current_timestamp())
 
 
 def insert_rows(rows: DataFrame, moment: Column) -> DataFrame:
@@ -66,14 +62,37 @@ def apply_updates(target: DataFrame, updates: DataFrame, key: str = "id", values
 
 
 def upsert(source: DataFrame, target: DataFrame, now: Column | None = None) -> DataFrame:
-    """The target after every message of the source was applied."""
-    updates, inserts = changes(source, target, now)
-    return apply_updates(target, updates).unionByName(inserts.select(*target.columns))
-
+    """The target after every message of the source was applied.
 
-def edit_settings(settings: DataFrame, edits: DataFrame, key: tuple[str, ...], values: tuple[str, ...]) -> DataFrame:
-    """Settings rows updated by key; edits with an unknown key are appended."""
+    One outer join by key with the active target rows, numbered per key: the first takes
+    the new values, a key found in the source only becomes a row. Inactive rows and rows
+    without key pass by; messages without key become rows each.
+    """
+    moment = now if now is not None else F.current_timestamp()
+    per_key, alone = _reduced(source)
+    live = F.coalesce((F.col("status") == ACTIVE) & _keyed(), F.lit(False))
+    place = F.row_number().over(Window.partitionBy(*KEY).orderBy("id"))
+    kept = target.filter(live).withColumn("_place", place)
+    joined = kept.join(per_key, list(KEY), "full")
+    new = {v: F.when((F.col("_place") == 1) & F.col("last").isNotNull(), F.col("last")[v]).otherwise(F.col(v)) for v in VALUES}
+    made = {"id": text.stable_id(*[F.col("first")[o] for o in ORDER]), "created_at": moment, "status": F.lit(ACTIVE).cast("byte"),
+            **{c: F.coalesce(F.col("first")[c], F.lit("")) for c in IDENTITY}, **{c: F.coalesce(F.col("last")[c], F.lit("")) for c in VALUES}}
+    out = [F.when(F.col("_place").isNull(), made.get(c, F.col(c))).otherwise(new.get(c, F.col(c))).cast(target.schema[c].dataType).alias(c)
+           for c in target.columns]
+    return joined.select(*out).unionByName(target.filter(~live)).unionByName(insert_rows(alone, moment).select(*target.columns))
+
+
+def edit_settings(settings: DataFrame, edits: DataFrame, key: tuple[str, ...], values: tuple[str, ...],
+                  order: tuple[str, ...] = ()) -> DataFrame:
+    """Settings rows updated by key; edits with an unknown key are appended.
+
+    Of several edits of one key the last by ``order`` counts, and of equal ones, or without
+    an order, that with the largest values.
+    """
     on = list(key)
+    rest = [c for c in edits.columns if c not in on]
+    last = F.max_by(F.struct(*rest), F.struct(*order, *values))
+    edits = edits.groupBy(*on).agg(last.alias("_last")).select(*on, "_last.*").select(*edits.columns)
     slot = edits.select(*on, F.struct(*values).alias("_new"))
     joined = settings.join(slot, on, "left")
     new = {v: F.when(F.col("_new").isNotNull(), F.col("_new")[v]).otherwise(F.col(v)) for v in values}

@@ -184,7 +184,8 @@ def registry(spark, sf_dir):
 
 @query("plugins", """
 SELECT c_custkey, 'building' AS processor, round(c_acctbal * 2, 2) AS amount FROM customer WHERE c_mktsegment = 'BUILDING'
-UNION ALL SELECT c_custkey, 'machinery', round(c_acctbal + 1, 2) FROM customer WHERE c_mktsegment = 'MACHINERY'""")
+UNION ALL SELECT c_custkey, 'machinery', round(c_acctbal + 1, 2) FROM customer WHERE c_mktsegment = 'MACHINERY'
+UNION ALL SELECT c_custkey, NULL, NULL FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')""")
 def two_processors(spark, sf_dir):
     def building(rows):
         return rows.select("c_custkey", F.lit("building").alias("processor"), F.round(F.col("c_acctbal") * 2, 2).alias("amount"))

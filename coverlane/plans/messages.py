@@ -160,7 +160,7 @@ def scalars(spark, sf_dir):
     parts = text.comma_list(F.when(kind == "view", "").otherwise(F.replace(F.concat(kind, F.lit("-x")), F.lit("c"), F.lit(","))))
     switch = F.when(kind == "error", "false").when(kind == "click", "TRUE")
     digits = F.when(kind == "view", "").otherwise(F.regexp_extract("props", "[0-9]+", 0))
-    keys = F.map_keys(F.from_json(F.concat(F.lit('{"z":1,'), F.substring("props", 2, 1_000_000)), messages.MAP_TYPE))
+    keys = F.map_keys(F.from_json(F.concat(F.lit('{"z":1,'), F.substr("props", F.lit(2))), messages.MAP_TYPE))
     return events.select(
         "event_id", F.size(parts).cast("long").alias("n_parts"), text.flag(switch, "true", "true").alias("is_on"),
         text.number(digits, "int", 7).alias("k"), text.prefix(kind, 3).alias("short"),

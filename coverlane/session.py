@@ -38,8 +38,12 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "cov
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``, which driver and executors share."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Spark takes that setting at start only; where it was not given, ``coverlane.sharedDir``
+    can name the folder later.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("coverlane.sharedDir", None)
     if not folder:
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return folder

@@ -21,16 +21,16 @@ def spread(rows: DataFrame) -> DataFrame:
 
 
 def message_files(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON document per file, read whole as bytes: ``path`` and ``body``.
+    """One JSON document per file, read whole as bytes: ``path``, ``modified`` and ``body``.
 
     Files carry no delivery tag; ``with_tags`` adds one.
     """
-    return spark.read.format("binaryFile").load(path).select("path", F.col("content").alias("body"))
+    return spark.read.format("binaryFile").load(path).select("path", F.col("modificationTime").alias("modified"), F.col("content").alias("body"))
 
 
 def with_tags(files: DataFrame) -> DataFrame:
-    """A repeatable delivery tag made from the path."""
-    return files.withColumn("delivery_tag", F.xxhash64("path"))
+    """A repeatable delivery tag: files go by modification time, then path."""
+    return files.withColumn("delivery_tag", F.struct("modified", "path"))
 
 
 def message_lines(spark: SparkSession, path: str) -> DataFrame:

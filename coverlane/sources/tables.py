@@ -15,7 +15,9 @@ def query(spark: SparkSession, statement: str, args: dict[str, Any] | None = Non
 
 
 def append(rows: DataFrame, path: str, schema: T.StructType) -> None:
-    """Append to a table by column name. Columns the rows lack become null."""
+    """Append to a table by column name. Columns the rows lack become null; unknown ones are an error."""
+    if unknown := [c for c in rows.columns if c not in schema.names]:
+        raise ValueError(f"the table has no column {unknown}")
     aligned = rows.sparkSession.createDataFrame([], schema).unionByName(rows, allowMissingColumns=True)
     aligned.select(schema.names).write.mode("append").parquet(path)
 
@@ -28,12 +30,13 @@ def create_if_absent(spark: SparkSession, name: str, schema: T.StructType, path:
 
 # Rewrites without MERGE ------------------------------------------------------------
 #
-# A table is a folder of complete versions ``v=<number>``. A version counts once its
-# success marker is there, so a job that dies half-way changes nothing, and running the
-# same batch again overwrites the same version.
+# A table is a folder of complete versions ``v=<number>``, or ``v=<number>,<stream>,<batch>``
+# if a batch of a stream made it. A version counts once its success marker is there, so a
+# job that dies half-way changes nothing.
 
 
-def versions(spark: SparkSession, path: str) -> list[int]:
+def _folders(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """Complete versions, oldest first, each with its folder's name."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     root = jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(conf)
@@ -44,20 +47,30 @@ def versions(spark: SparkSession, path: str) -> list[int]:
         folder = entry.getPath()
         done = jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")
         if folder.getName().startswith("v=") and fs.exists(done):
-            found.append(int(folder.getName()[2:]))
+            found.append((int(folder.getName()[2:].split(",")[0]), folder.getName()))
     return sorted(found)
 
 
+def versions(spark: SparkSession, path: str) -> list[int]:
+    return [number for number, _ in _folders(spark, path)]
+
+
+def has_batch(spark: SparkSession, path: str, stream: str, batch: int) -> bool:
+    """Whether this batch of this stream is in a complete version already."""
+    return any(name.split(",")[1:] == [stream, str(batch)] for _, name in _folders(spark, path))
+
+
 def read_version(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
     """The newest complete version, or the newest one below ``before``."""
-    known = [v for v in versions(spark, path) if before is None or v < before]
+    known = [name for v, name in _folders(spark, path) if before is None or v < before]
     if not known:
         raise ValueError(f"no complete version under {path}")
-    return spark.read.parquet(f"{path.rstrip('/')}/v={known[-1]}")
+    return spark.read.parquet(f"{path.rstrip('/')}/{known[-1]}")
 
 
-def write_version(rows: DataFrame, path: str, version: int) -> None:
-    rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/v={version}")
+def write_version(rows: DataFrame, path: str, version: int, batch: tuple[str, int] | None = None) -> None:
+    made_by = "".join(f",{part}" for part in batch or ())
+    rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/v={version}{made_by}")
 
 
 def exists(spark: SparkSession, path: str) -> bool:

@@ -61,21 +61,50 @@ def scrape_policy(max_attempts: int) -> Callable[[DataFrame], DataFrame]:
     return decide
 
 
-def enrich_stream(stream_clients: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Stream-static join; the catalog is read again for each batch, so it is never stale."""
-    return lookups.enrich(stream_clients, catalog)
+def retry_sink(decided: DataFrame, inbox: str, batch_id: int) -> None:
+    """Put retried tasks back into the input folder, ready for a later trigger.
+
+    Named by batch and overwritten, so a repeated batch puts them back once.
+    """
+    again = decided.filter(F.col("disposition") == messages.RETRY).select("delivery_tag", "attempt", "body")
+    again.write.mode("overwrite").json(f"{inbox.rstrip('/')}/retry-{batch_id}")
+
+
+def scrape_worker(inbox: str, out: str, max_attempts: int) -> Callable[[DataFrame, int], None]:
+    """Batch callback: dispositions to ``out``, retried tasks back to ``inbox``."""
+    decide = scrape_policy(max_attempts)
+    write = write_dispositions(out, decide)
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        write(batch, batch_id)
+        retry_sink(decide(batch), inbox, batch_id)
+
+    return each
+
+
+def enrich_batches(catalog: Callable[[SparkSession], DataFrame], write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """Batch callback: clients with their catalog entry. The catalog is opened for each batch, so a new row is seen."""
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        write(lookups.enrich(batch, catalog(batch.sparkSession)), batch_id)
+
+    return each
 
 
-def upsert_batches(target_path: str, to_source: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """Batch callback: apply each batch to the versioned target; one writer per target.
+def upsert_batches(target_path: str, to_source: Callable[[DataFrame], DataFrame], stream: str = "stream") -> Callable[[DataFrame, int], None]:
+    """Batch callback: apply each batch to the versioned target; one writer at a time.
 
-    Batch n makes version n + 1 from the newest version below it, so a repeated batch
-    starts from the same state.
+    ``stream`` names the checkpoint: batch numbers start again with a new one, which then
+    needs a new name. A batch makes the version after the newest and leaves its own name
+    there; one that is found there is not applied again.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        target = tables.read_version(spark, target_path, before=batch_id + 1)
-        tables.write_version(upsert.upsert(to_source(batch), target), target_path, batch_id + 1)
+        if tables.has_batch(spark, target_path, stream, batch_id):
+            return
+        known = tables.versions(spark, target_path)
+        target = tables.read_version(spark, target_path)
+        tables.write_version(upsert.upsert(to_source(batch), target), target_path, known[-1] + 1, (stream, batch_id))
 
     return each

@@ -107,11 +107,66 @@ def test_upsert_stream_equals_one_batch(spark, rows):
     assert tables.versions(spark, f"{base}/table") == [0, 1, 2, 3]
 
 
-def test_stream_static_join(spark):
-    base = fresh_dir(spark, "test-enrich")
-    spark.createDataFrame([("A", 1), ("Z", 2)], "insurer_name string, n int").write.json(f"{base}/in")
-    catalog = spark.createDataFrame([("1", "A", None), ("2", "A", None)], "id string, name string, created_at timestamp")
-    stream = queue.enrich_stream(spark.readStream.schema("insurer_name string, n int").json(f"{base}/in"), catalog)
+def test_catalog_is_read_for_each_batch(spark, tmp_path):
+    base = str(tmp_path)
+    schema = "id string, name string, created_at timestamp"
+    for k, name in enumerate(("A", "Z")):
+        spark.createDataFrame([(name, k)], "insurer_name string, n int").coalesce(1).write.json(f"{base}/in/{k}")
+    spark.createDataFrame([("1", "A", None), ("2", "A", None)], schema).write.json(f"{base}/catalog/0")
     seen = []
-    queue.run_available(stream, lambda batch, _: seen.extend((r["n"], r["catalog"]["id"]) for r in batch.collect()), f"{base}/state").awaitTermination()
-    assert seen == [(1, "1")]
+
+    def write(batch, batch_id):
+        seen.extend((r["insurer_name"], r["catalog"]["id"]) for r in batch.collect())
+        spark.createDataFrame([("3", "Z", None), ("4", "A", None)], schema).write.mode("overwrite").json(f"{base}/catalog/1")
+
+    each = queue.enrich_batches(lambda s: s.read.schema(schema).option("recursiveFileLookup", "true").json(f"{base}/catalog"), write)
+    for k in range(2):
+        stream = spark.readStream.schema("insurer_name string, n int").json(f"{base}/in/{k}")
+        queue.run_available(stream, each, f"{base}/state-{k}").awaitTermination()
+    assert seen == [("A", "1"), ("Z", "3")]
+
+
+def test_upsert_after_restart_and_from_a_second_stream(spark, tmp_path):
+    path = str(tmp_path / "table")
+    blank = {c: F.lit("") for c in NAME_PARTS}
+    schema = "id string, invoice_id long, insurer_id long, doc_id string, policy_no string, dependent_no string, status byte"
+    source = "delivery_tag long, pos int, invoice_id long, insurer_id long, doc_id string, policy_no string, dependent_no string"
+    start = spark.createDataFrame([("T", 1, 1, "d", "old", "0", 1)], schema).withColumns(blank).withColumn("created_at", F.lit(None).cast("timestamp"))
+    tables.write_version(start, path, 0)
+    batch = lambda policy: spark.createDataFrame([(1, 0, 1, 1, "D", policy, "0")], source)
+    policy = lambda: [r["policy_no"] for r in tables.read_version(spark, path).collect()]
+    first, second = (queue.upsert_batches(path, lambda b: b.withColumns(blank), name) for name in ("one", "two"))
+    first(batch("P0"), 0)
+    first(batch("P1"), 1)
+    assert policy() == ["P1"]
+    second(batch("Q0"), 0)
+    assert policy() == ["Q0"]
+    first(batch("P1"), 1)
+    assert policy() == ["Q0"] and tables.versions(spark, path) == [0, 1, 2, 3]
+
+
+def test_append_rejects_unknown_columns(spark, tmp_path):
+    with pytest.raises(ValueError):
+        tables.append(spark.createDataFrame([("t", "u")], "title string, other string"), str(tmp_path / "t"), SCRAPE_RESULTS)
+
+
+def test_scrape_policy_drops_only_what_is_no_json(spark):
+    bodies = [b"7", b"[1]", b"null", b"\xff", b"{", b'{"url":"u"}', b'{"url":""}', None]
+    inbox = spark.createDataFrame([(i, 0, b) for i, b in enumerate(bodies)], "delivery_tag long, attempt int, body binary")
+    got = [r["disposition"] for r in queue.scrape_policy(3)(inbox).orderBy("delivery_tag").collect()]
+    assert got == ["retry", "retry", "retry", "retry", "drop", "ack", "retry", "retry"]
+
+
+def test_no_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from coverlane.session import shared_dir
+
+    settings = {}
+    session = SimpleNamespace(conf=SimpleNamespace(get=settings.get))
+    with pytest.raises(RuntimeError):
+        shared_dir(session)
+    settings["coverlane.sharedDir"] = "/a"
+    assert shared_dir(session) == "/a"
+    settings["spark.checkpoint.dir"] = "/b"
+    assert shared_dir(session) == "/b"

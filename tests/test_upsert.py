@@ -54,3 +54,10 @@ def test_settings_edit(spark, rows):
     settings = spark.createDataFrame([("u", "a", 1), ("u", "b", 2)], "url_id string, field_name string, ord int")
     edits = spark.createDataFrame([("u", "b", 9), ("v", "a", 5)], "url_id string, field_name string, ord int")
     assert rows(upsert.edit_settings(settings, edits, ("url_id", "field_name"), ("ord",))) == [("u", "a", 1), ("u", "b", 9), ("v", "a", 5)]
+
+
+def test_repeated_edits_of_one_key(spark, rows):
+    settings = spark.createDataFrame([("u", "a", 1)], "url_id string, field_name string, ord int")
+    edits = spark.createDataFrame([("u", "a", 9, 1), ("u", "a", 5, 2), ("v", "a", 7, 1), ("v", "a", 6, 2)], "url_id string, field_name string, ord int, at int")
+    got = upsert.edit_settings(settings, edits, ("url_id", "field_name"), ("ord",), ("at",)).select("url_id", "field_name", "ord")
+    assert rows(got) == [("u", "a", 5), ("v", "a", 6)]
