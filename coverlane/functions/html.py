@@ -9,8 +9,10 @@ same row, so no page is ever shuffled.
 
 from __future__ import annotations
 
+import json
 import re
 from functools import reduce
+from html.entities import html5
 from html.parser import HTMLParser
 from operator import or_
 
@@ -25,16 +27,30 @@ from coverlane.functions import text
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 SILENT = {"script", "style", "template"}
 
+# A start tag ends these open elements, up to the nearest of the walls.
+ENDED_BY = {
+    "td": ({"td", "th"}, {"table", "tr"}),
+    "th": ({"td", "th"}, {"table", "tr"}),
+    "tr": ({"tr", "td", "th"}, {"table"}),
+    "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"}),
+    "tfoot": ({"thead", "tbody", "tr", "td", "th"}, {"table"}),
+    "li": ({"li"}, {"ul", "ol"}),
+    "option": ({"option"}, {"select"}),
+    "p": ({"p"}, {"td", "th", "li", "div", "table", "button"}),
+}
+for _block in ("div", "table", "ul", "ol", "form", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "hr"):
+    ENDED_BY[_block] = ENDED_BY["p"]
+
 NOISE = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 HREF = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 TEXT = "#text"
 HIDDEN_CLASS = "hide"
 
 ELEMENT_TYPE = T.ArrayType(T.StructType([
-    T.StructField("idx", T.IntegerType()), T.StructField("last", T.IntegerType()), T.StructField("tag", T.StringType()),
+    T.StructField("idx", T.IntegerType()), T.StructField("last", T.IntegerType()), T.StructField("up", T.IntegerType()), T.StructField("tag", T.StringType()),
     T.StructField("attrs", T.MapType(T.StringType(), T.StringType())), T.StructField("text", T.StringType())]))
 _ARROW_ITEM = pa.struct([
-    ("idx", pa.int32()), ("last", pa.int32()), ("tag", pa.string()),
+    ("idx", pa.int32()), ("last", pa.int32()), ("up", pa.int32()), ("tag", pa.string()),
     ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string())])
 
 
@@ -46,7 +62,7 @@ class _Flattener(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.idx, self.last, self.tags, self.texts = [], [], [], []
+        self.idx, self.last, self.up, self.tags, self.texts = [], [], [], [], []
         self.attr_ends, self.names, self.values = [0], [], []
         self.start, self.open, self.silent = 0, [], 0
 
@@ -60,7 +76,7 @@ class _Flattener(HTMLParser):
             self._end(0)
             return True
         except Exception:  # one page that cannot be parsed must not fail the batch
-            for column in (self.idx, self.last, self.tags, self.texts):
+            for column in (self.idx, self.last, self.up, self.tags, self.texts):
                 del column[self.start:]
             del self.attr_ends[self.start + 1:], self.names[self.attr_ends[-1]:], self.values[self.attr_ends[-1]:]
             return False
@@ -69,6 +85,7 @@ class _Flattener(HTMLParser):
         at = len(self.tags) - self.start
         self.idx.append(at)
         self.last.append(at)
+        self.up.append(self.open[-1] if self.open else -1)
         self.tags.append(tag)
         self.texts.append(content)
         for name, value in dict(attrs).items():
@@ -84,7 +101,21 @@ class _Flattener(HTMLParser):
             self.silent -= self.tags[self.start + at] in SILENT
         del self.open[depth:]
 
+    def _imply_ends(self, tag: str) -> None:
+        """End tags that authors may leave out, as a browser puts them in."""
+        ended, walls = ENDED_BY.get(tag, ((), ()))
+        cut = None
+        for depth in range(len(self.open) - 1, -1, -1) if ended else ():
+            name = self.tags[self.start + self.open[depth]]
+            if name in ended:
+                cut = depth
+            elif name in walls:
+                break
+        if cut is not None:
+            self._end(cut)
+
     def handle_starttag(self, tag, attrs):
+        self._imply_ends(tag)
         self._add(tag, attrs)
         if tag not in VOID:
             self.open.append(self.idx[-1])
@@ -107,7 +138,7 @@ class _Flattener(HTMLParser):
     def arrow(self, ends: list) -> pa.Array:
         attrs = pa.MapArray.from_arrays(self.attr_ends, pa.array(self.names, pa.string()), pa.array(self.values, pa.string()))
         items = pa.StructArray.from_arrays(
-            [pa.array(self.idx, pa.int32()), pa.array(self.last, pa.int32()), pa.array(self.tags, pa.string()), attrs,
+            [pa.array(self.idx, pa.int32()), pa.array(self.last, pa.int32()), pa.array(self.up, pa.int32()), pa.array(self.tags, pa.string()), attrs,
              pa.array(self.texts, pa.string())], fields=list(_ARROW_ITEM))
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)
 
@@ -168,9 +199,13 @@ def _matches(item: Column, compound: str) -> Column:
     return F.coalesce(test, F.lit(False))
 
 
+# Compound selectors (a bracket may hold blanks and ">") and child combinators.
+_CHAIN = re.compile(r"(?:\[[^\]]*\]|[^\s\[\]>])+|>")
+
+
 def select(els: Column, selector: str) -> Column:
-    """All elements matching a comma list of descendant selectors, in document order."""
-    chains = [chain.split() for chain in re.split(r",(?![^\[]*\])", selector)]
+    """All elements matching a comma list of selectors, in document order; ``>`` asks for a child, a blank for any descendant."""
+    chains = [_CHAIN.findall(chain) for chain in re.split(r",(?![^\[]*\])", selector)]
     if all(len(chain) == 1 for chain in chains):
         return F.filter(els, lambda e: reduce(or_, [_matches(e, chain[0]) for chain in chains]))
     places = F.concat(*[_places(els, chain) for chain in chains])
@@ -185,7 +220,18 @@ def _places(els: Column, chain: list[str]) -> Column:
     def step(places: Column, part: str) -> Column:
         return F.array_distinct(F.flatten(F.transform(places, lambda i: found(below(els, F.get(els, i)), part))))
 
-    return reduce(step, chain[1:], found(els, chain[0]))
+    def child(places: Column, part: str) -> Column:
+        inside = lambda i: F.filter(below(els, F.get(els, i)), lambda e: e["up"] == i)
+        return F.array_distinct(F.flatten(F.transform(places, lambda i: found(inside(i), part))))
+
+    if chain[0] == ">" or chain[-1] == ">" or any(a == b == ">" for a, b in zip(chain, chain[1:])):
+        raise ValueError(f"selector part not supported: {' '.join(chain)!r}")
+    places, direct = found(els, chain[0]), False
+    for part in chain[1:]:
+        if part != ">":
+            places = (child if direct else step)(places, part)
+        direct = part == ">"
+    return places
 
 
 def select_one(els: Column, selector: str) -> Column:
@@ -270,15 +316,23 @@ def without_noise(page: Column) -> Column:
 
 
 def unescape(value: Column) -> Column:
-    """Basic entities; as in a browser the semicolon may be missing at the end of a word."""
-    # Entity names and their characters; "amp" must come last.
-    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("nbsp", "\xa0"), ("amp", "&")):
-        value = F.regexp_replace(value, f"&{name}(?:;|(?![a-zA-Z0-9]))", char)
-    return value
+    """Named and numeric entities; as in a browser, old names may lack the semicolon at the end of a word."""
+    def read(piece: Column) -> Column:
+        decimal = F.regexp_extract(piece, r"^&#(\d{1,7});?$", 1)
+        hexed = F.regexp_extract(piece, r"^&#[xX]([0-9a-fA-F]{1,6});?$", 1)
+        code = F.when(decimal != "", F.hex(decimal.cast("long"))).when(hexed != "", F.upper(hexed))
+        number = F.conv(code, 16, 10).cast("long")
+        fine = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
+        return F.when(fine, char).when(F.startswith(piece, F.lit("&")), F.coalesce(F.element_at(named, F.substr(piece, F.lit(2))), piece)).otherwise(piece)
+
+    named = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+    pieces = F.regexp_extract_all(value, F.lit(r"&#?[a-zA-Z0-9]+;?|[^&]+|&"), F.lit(0))
+    return F.when(F.contains(value, F.lit("&")), F.array_join(F.transform(pieces, read), "")).otherwise(value)
 
 
 def title(page: Column) -> Column:
-    return unescape(F.regexp_extract(page, r"(?is)<title[^>]*>(.*?)</title\s*>", 1))
+    return unescape(F.regexp_extract(without_noise(page), r"(?is)<title[^>]*>(.*?)</title\s*>", 1))
 
 
 def links(page: Column, first: int | None = None) -> Column:

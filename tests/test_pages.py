@@ -96,3 +96,15 @@ def test_native_paths(parsed):
     links = pages.relevant_links(parsed, ["/x"], ["pólizas"]).collect()
     assert [(r["href"], r["label"]) for r in links] == [("/x?a=1&b=2", "Mis Pólizas")]
     assert [r["href"] for r in pages.all_links(parsed).collect()] == ["/x?a=1&b=2", "/bare"]
+
+
+def test_omitted_end_tags_children_and_entities(spark):
+    page = ('<!-- <title>Old</title> --><title>P&oacute;liza &#243;&#xF3;&ntilde &amp;lt; &bogus; &</title>'
+            '<table class=g><tr><th>A<th>B<tr><td>1<td>2</table><ul><li>x<li>y</ul><div title="a > b"><b>in</b><p>one<p>two <b>deep</b></div>')
+    df = spark.createDataFrame([(1, page)], "page_id long, html string")
+    parsed = pages.with_elements(df)
+    rows = pages.result_rows(parsed, "g").collect()
+    assert [r["cells"] for r in rows] == [{"A": "1", "B": "2"}]
+    assert df.select(html.title(F.col("html"))).first()[0] == "Póliza óóñ &lt; &bogus; &"
+    texts = lambda s: [r[0] for r in parsed.select(F.explode(html.select(F.col("els"), s)).alias("e"), "els").select(html.text_of(F.col("els"), F.col("e"))).collect()]
+    assert texts("li") == ["x", "y"] and texts("div > b") == ["in"] and texts('div[title="a > b"] b') == ["in", "deep"] and texts("div>p") == ["one", "twodeep"]
