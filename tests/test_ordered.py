@@ -29,7 +29,6 @@ def history(log):
 @pytest.mark.parametrize("hot_rows", [10**9, 50])
 def test_against_plain_loops(log, rows, hot_rows):
     cut = ordered.cut_hot(log, by(hot_rows))
-    assert cut.has_hot == (hot_rows == 50)
     prev, total, last, ahead = [], [], [], []
     for key, items in history(log).items():
         count, seen = 0, None
@@ -85,3 +84,19 @@ def test_key_values_and_first_change(log, rows):
         size = ordered.of_key(ordered.cut_hot(log, by(hot_rows)), F.count("*"), "n").df
         assert rows(size.select("k", "n").distinct()) == sorted((k, len(v)) for k, v in history(log).items())
         assert size.count() == 600
+
+
+def test_null_keys_and_null_order_values(spark, rows):
+    """As plain windows give it, cut or not."""
+    data = [(k, t, i) for i, (k, t) in enumerate([(k, t) for k in ("a", None) for t in (None, None, None, None, 1, 2, 3, 8, 9, 15, 16, 30)])]
+    df = spark.createDataFrame(data, "k string, t long, id long")
+    want_prev, want_pos = [], []
+    for key in ("a", None):
+        items = sorted((r for r in data if r[0] == key), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        want_prev += [(r[2], items[i - 1][2] if i else None) for i, r in enumerate(items)]
+        want_pos += [(r[2], i + 1) for i, r in enumerate(items)]
+    for hot_rows in (10**9, 5):
+        cut = ordered.cut_hot(df, by(hot_rows))
+        assert rows(ordered.previous(cut, F.col("id"), "o").df, "id", "o") == sorted(want_prev, key=repr)
+        assert rows(ordered.row_position(cut, "o").df, "id", "o") == sorted(want_pos, key=repr)
+        assert ordered.of_key(cut, F.count("*"), "n").df.where("n = 12").count() == 24
