@@ -9,7 +9,6 @@ examples, so nothing is shuffled and only the last sequences of a task stay shor
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -21,45 +20,62 @@ from pyspark.sql import types as T
 
 from coverlane.llm.registry import query, table
 
-_PART = re.compile(r"[^ \t\n\v\f\r]+")
-
-
 class Encoder:
-    """Ids of a text by a ``tokenizers`` tokenizer whose ids never depend on a neighbour across white space.
+    """Ids of a text by a ``tokenizers`` tokenizer that ignores case and never reads across white space.
 
     Words repeat, so each is encoded once and its ids are kept as bytes (little-endian
-    unsigned 32 bit); the store is emptied when it holds ``most`` words. Strings of special
-    tokens in a text are ordinary text.
+    unsigned 32 bit); the store is emptied when it holds ``most`` words. A word of letters and
+    the punctuation behind it are always tokens apart. Strings of special tokens in a text
+    are ordinary text.
     """
 
-    def __init__(self, spec: str, most: int = 300_000):
+    def __init__(self, spec: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True
-        self.most, self.known = most, {}
+        self.model, self.most, self.known = self.tokenizer.model, most, {}
 
     def __call__(self, text: str | None) -> bytes:
-        words = _PART.findall(text or "")
-        known = self.known
-        new = list(set(words).difference(known))
-        if len(known) + len(new) > self.most:
-            known.clear()
-            new = list(set(words))
-        for word, code in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            known[word] = np.array(code.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+        words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # ASCII case and white space only
+        if len(self.known) > self.most:
+            self.known.clear()
+        if new := set(words).difference(self.known):
+            self._learn(new)
+        return b"".join(map(self.known.__getitem__, words))
+
+    def _learn(self, words: set[bytes]) -> None:
+        known, slow, parts = self.known, [], {}
+        for word in words:
+            core = word.rstrip(b".,!?;:")
+            parts[word] = (core, word[len(core) :]) if core != word and core[-1:].isalnum() else (word,)
+        for part in {p for pair in parts.values() for p in pair}.difference(known):
+            if part.isalpha():  # ASCII letters: one piece for the model
+                known[part] = np.array([t.id for t in self.model.tokenize(part.decode())], "<u4").tobytes()
+            else:
+                slow.append(part)
+        if slow:
+            texts = [p.decode("utf-8", "replace") for p in slow]
+            code = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+            owner = np.searchsorted(starts, [at for at, _ in code.offsets], "right") - 1
+            ids, ends = np.array(code.ids, "<u4"), np.searchsorted(owner, np.arange(len(texts) + 1))
+            for i, part in enumerate(slow):
+                known[part] = ids[ends[i] : ends[i + 1]].tobytes()
+        for word, pair in parts.items():
+            if len(pair) > 1:
+                known[word] = known[pair[0]] + known[pair[1]]
 
 
 def word_bounded(spec: str) -> bool:
-    """Whether the tokenizer splits at white space and drops it, so that words can be encoded apart."""
+    """Whether the tokenizer ignores case, splits at white space and before punctuation, and drops white space."""
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_str(spec)
     t.encode_special_tokens = True
     ids = lambda x: t.encode(x, add_special_tokens=False).ids
     samples = ["a", "Don't", "x1.", "Über-", "...", "é", "Σς", "́b", "'s", "!?", "漢字"]
-    return all(ids(f"{a}{gap}{b}") == ids(a) + ids(b) for a in samples for b in samples for gap in (" ", "\n", " \t\n "))
+    return all(ids(f"{a}{gap}{b}") == ids(a) + ids(b) for a in samples for b in samples for gap in (" ", "\n", " \t\n ")) and ids("ABC") == ids("abc") and ids("abc.") == ids("abc") + ids(".")
 
 
 class Packer:
