@@ -54,6 +54,13 @@ _ARROW_ITEM = pa.struct([
     ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string())])
 
 
+_PART = re.compile(
+    r"""(?P<tag>^[a-zA-Z][\w-]*|^\*)|\#(?P<id>[\w-]+)|\.(?P<cls>[\w-]+)"""
+    r"""|\[(?P<attr>[\w-]+)(?:(?P<op>\*?=)["']?(?P<value>[^"'\]]*)["']?)?\]""")
+# Compound selectors (a bracket may hold blanks and ">") and child combinators.
+_CHAIN = re.compile(r"(?:\[[^\]]*\]|[^\s\[\]>])+|>")
+
+
 class _Flattener(HTMLParser):
     """Elements in document order, each with the index of its last descendant.
 
@@ -152,6 +159,72 @@ def _elements(pages: pa.Array) -> pa.Array:
     return flat.arrow([*ends, len(flat.tags)])
 
 
+def _test(compound: str):
+    """A Python predicate for one compound selector, on (tag, attributes)."""
+    tests, at = [], 0
+    for part in _PART.finditer(compound):
+        if part.start() != at:
+            break
+        at = part.end()
+        if part["tag"] and part["tag"] != "*":
+            tests.append(lambda tag, attrs, v=part["tag"].lower(): tag == v)
+        elif part["id"]:
+            tests.append(lambda tag, attrs, v=part["id"]: attrs.get("id") == v)
+        elif part["cls"]:
+            tests.append(lambda tag, attrs, v=part["cls"]: v in attrs.get("class", "").split())
+        elif part["attr"]:
+            name, op, value = part["attr"].lower(), part["op"], part["value"]
+            tests.append(lambda tag, attrs, n=name, o=op, v=value: n in attrs and (not o or (v in attrs[n] if o == "*=" else attrs[n] == v)))
+    if at != len(compound):
+        raise ValueError(f"selector part not supported: {compound!r}")
+    return lambda tag, attrs: tag != TEXT and all(t(tag, attrs) for t in tests)
+
+
+def _first_text(page: _Flattener, selector: str) -> str:
+    """Text of the first match in the page just parsed, '' where nothing matches."""
+    n = len(page.tags)
+    attrs = [dict(zip(page.names[a:b], page.values[a:b])) for a, b in zip(page.attr_ends, page.attr_ends[1:])]
+    hits = []
+    for chain in re.split(r",(?![^\[]*\])", selector):
+        places, direct, started = None, False, False
+        for part in _CHAIN.findall(chain):
+            if part == ">":
+                direct = True
+                continue
+            test = _test(part)
+            if not started:
+                places, started = [i for i in range(n) if test(page.tags[i], attrs[i])], True
+            else:
+                inside = {j for i in places for j in range(i + 1, page.last[i] + 1) if not direct or page.up[j] == i}
+                places = sorted(j for j in inside if test(page.tags[j], attrs[j]))
+            direct = False
+        hits += places or []
+    if not hits:
+        return ""
+    first = min(hits)
+    return "".join(page.texts[i] for i in range(first + 1, page.last[first] + 1) if page.tags[i] == TEXT)
+
+
+@F.arrow_udf(T.MapType(T.StringType(), T.StringType()))
+def _select_texts(pages: pa.Array, selectors: pa.Array) -> pa.Array:
+    out = []
+    for page, wanted in zip(pages.to_pylist(), selectors.to_pylist()):
+        flat = _Flattener()
+        if page is None or wanted is None or not flat.page(page):
+            out.append(None)
+            continue
+        try:
+            out.append([(name, _first_text(flat, s)) for name, s in wanted])
+        except ValueError:  # a selector of a message that is not understood fails its own row only
+            out.append(None)
+    return pa.array(out, pa.map_(pa.string(), pa.string()))
+
+
+def select_texts(page: Column, selectors: Column) -> Column:
+    """Output name to text of the first match, by the selector map of the same row; null if that fails."""
+    return _select_texts.asNondeterministic()(page, selectors)
+
+
 # Marked this way so that no filter is moved below the parser, which would run it twice.
 elements = _elements.asNondeterministic()
 
@@ -170,11 +243,6 @@ def has_class(item: Column, name: str) -> Column:
     return F.coalesce(F.contains(value, F.lit(name)) & F.array_contains(F.split(value, f"[{text.BLANKS}]+"), name), F.lit(False))
 
 
-_PART = re.compile(
-    r"""(?P<tag>^[a-zA-Z][\w-]*|^\*)|\#(?P<id>[\w-]+)|\.(?P<cls>[\w-]+)"""
-    r"""|\[(?P<attr>[\w-]+)(?:(?P<op>\*?=)["']?(?P<value>[^"'\]]*)["']?)?\]""")
-
-
 def _matches(item: Column, compound: str) -> Column:
     """One compound selector: tag, ``#id``, ``.class``, ``[a]``, ``[a="v"]``, ``[a*="v"]``."""
     test, at = item["tag"] != TEXT, 0
@@ -199,10 +267,6 @@ def _matches(item: Column, compound: str) -> Column:
     return F.coalesce(test, F.lit(False))
 
 
-# Compound selectors (a bracket may hold blanks and ">") and child combinators.
-_CHAIN = re.compile(r"(?:\[[^\]]*\]|[^\s\[\]>])+|>")
-
-
 def select(els: Column, selector: str) -> Column:
     """All elements matching a comma list of selectors, in document order; ``>`` asks for a child, a blank for any descendant."""
     chains = [_CHAIN.findall(chain) for chain in re.split(r",(?![^\[]*\])", selector)]

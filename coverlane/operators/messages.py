@@ -161,14 +161,18 @@ def read_tasks(inbox: DataFrame, attempt: Column | None = None, max_attempts: in
         F.when(~F.col("_json"), DROP).when(F.col("fields").isNull() | ~text.has_value(url), again).otherwise(ACK).alias("disposition"))
 
 
-def scrape_records(scraped: DataFrame, started: Column, finished: Column) -> DataFrame:
+def scrape_records(scraped: DataFrame, started: Column, finished: Column, keep: tuple[str, ...] = ()) -> DataFrame:
     """Scraped pages as rows of the result table.
 
-    Input: ``url, title, status_code, error, rendered, extracted`` (map). The whole
-    record is kept as JSON next to the named columns; ``content`` is always empty.
+    Input: ``url, title, status_code, error, rendered, extracted`` (map), and ``links`` if
+    there are any. The whole record, with the time it was made and how long that took, is
+    kept as JSON next to the named columns; ``content`` is always empty.
     """
-    record = F.struct("url", "title", "status_code", "error", "rendered", "extracted")
+    links = [F.col("links")] if "links" in scraped.columns else []
+    record = F.struct("url", "title", "status_code", "error", "rendered", "extracted", *links,
+                      (finished / 1e6).alias("timestamp"), text.seconds_between(started, finished).alias("processing_time"))
     return scraped.select(
+        *keep,
         F.coalesce("url", F.lit("")).alias("url"),
         F.coalesce("title", F.lit("")).alias("title"),
         F.lit("").alias("content"),

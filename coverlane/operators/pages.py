@@ -59,6 +59,38 @@ def all_links(parsed: DataFrame, selector: str = "a[href]") -> DataFrame:
     return _unfold(parsed.select("page_id", F.posexplode_outer(full).alias("pos", "href")), "pos")
 
 
+def page_links(pages: DataFrame) -> DataFrame:
+    """Every non-empty ``href`` of the page's links, one row each, without the element tree."""
+    full = F.filter(html.links(F.col("html")), lambda h: text.has_value(h))
+    return _unfold(pages.select("page_id", F.posexplode_outer(full).alias("pos", "href")), "pos")
+
+
+def missing_elements(parsed: DataFrame, expected: list[str]) -> DataFrame:
+    """``warnings``: the selectors of which a page has no element, in the order given."""
+    absent = [F.when(F.size(html.select(F.col("els"), s)) == 0, s) for s in expected]
+    return parsed.withColumn("warnings", F.filter(F.array(*absent), lambda s: s.isNotNull()))
+
+
+def scrape(tasks: DataFrame, pages: DataFrame, max_links: int = 10) -> DataFrame:
+    """Each task with what its page holds: ``title``, ``extracted`` (map), ``links``, ``status_code``, ``error``.
+
+    A task's own selectors are applied to its page; a task without any takes the first
+    links. A url that was never captured, or a page that cannot be parsed, is an error row.
+    Of several captures of one url the one with the largest ``page_id`` is read.
+    """
+    newest = pages.groupBy("url").agg(F.max_by(F.struct("html"), "page_id").alias("_page"))
+    rows = tasks.join(newest, "url", "left").withColumn("_html", F.col("_page.html"))
+    asked = F.coalesce(F.size("selectors") > 0, F.lit(False))
+    rows = rows.withColumn("_found", F.when(asked, html.select_texts(F.col("_html"), F.col("selectors"))))
+    failed = F.col("_html").isNull() | (asked & F.col("_found").isNull())
+    return rows.select(
+        *tasks.columns, html.title(F.col("_html")).alias("title"),
+        F.coalesce("_found", F.create_map().cast("map<string,string>")).alias("extracted"),
+        F.when(~asked & ~failed, html.links(F.col("_html"), max_links)).alias("links"),
+        F.when(failed, F.lit(None)).otherwise(F.lit(200)).cast("int").alias("status_code"),
+        F.when(F.col("_page").isNull(), "page was not captured").when(failed, "page could not be parsed").alias("error"))
+
+
 def result_rows(parsed: DataFrame, css_class: str, hidden_class: str = html.HIDDEN_CLASS, align: bool = False) -> DataFrame:
     """Rows of the page's first table of a class: ``page_id, row_idx, cells`` (map).
 

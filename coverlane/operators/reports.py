@@ -33,9 +33,9 @@ def error_rows(results: DataFrame, as_documented: bool = False) -> DataFrame:
 
 
 def name_list(names: DataFrame, name: str) -> DataFrame:
-    """Number of distinct names and the sorted list: for names of catalog size."""
-    return names.select(name).distinct().agg(
-        F.count(name).alias("n"), F.array_sort(F.collect_list(name)).alias("names"))
+    """The distinct names, a row each, with their number ``n`` (nulls don't count)."""
+    distinct = names.select(name).where(F.col(name).isNotNull()).distinct()
+    return distinct.crossJoin(F.broadcast(distinct.agg(F.count("*").alias("n"))))  # one row
 
 
 def queue_status(inbox: DataFrame, done: Column) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from coverlane.functions import text
-from coverlane.operators import catalog, matching, messages, pages, reports, sessions, upsert
+from coverlane.operators import catalog, matching, messages, ordered, pages, reports, sessions, upsert
 from coverlane.plans.catalog import portal_catalog
 from coverlane.plans.logs import walk_sql
-from coverlane.plans.pages import result_pages
+from coverlane.plans.pages import AD_SQL, FOOTER_SQL, H1_SQL, HREFS_SQL, NAV_SQL, TITLE_SQL, result_pages
 from coverlane.plans.registry import query, spread_table, table
 from coverlane.session import settle
 
@@ -87,14 +87,46 @@ def membership_outcomes(spark, sf_dir):
     rows = known.select(
         "delivery_tag", "pos", "insurer_name", F.col("catalog").isNotNull().alias("has_url"),
         F.coalesce(F.col("catalog.description").cast("int") < 2, F.lit(False)).alias("needs_session"),
-        (F.unix_date(F.to_date("processed_on")).cast("long") * 86_400_000_000).alias("t"),
-        (F.col("delivery_tag") * 1000 + F.col("pos")).alias("seq"), F.lit(True).alias("opens"),
+        (F.unix_date(F.to_date("processed_on")).cast("long") * 86_400_000_000).alias("t"), F.lit(True).alias("opens"),
         reports.can_capture(F.lit(1), F.col("doc_id")).alias("closes"), F.lit(False).alias("reset"))
     # Read three times below (heavy keys, the fold, the rest), parsed once.
     rows = settle(rows, "clients")
     in_session = text.has_value("insurer_name") & F.col("has_url") & F.col("needs_session")
-    held = sessions.phases(rows.filter(in_session), "insurer_name", WEEK, keep=("delivery_tag", "pos", "has_url", "needs_session"))
+    # Clients of one insurer are numbered in handling order, however many a message has.
+    by = ordered.Ordering(("insurer_name",), ("t", "delivery_tag", "pos"), F.struct("t", F.floor(F.col("delivery_tag") / 100_000)))
+    numbered = ordered.row_position(ordered.cut_hot(rows.filter(in_session), by), "seq").df.drop(ordered.SLICE)
+    held = sessions.phases(numbered, "insurer_name", WEEK, keep=("delivery_tag", "pos", "has_url", "needs_session"))
     rest = rows.filter(~in_session).withColumn("phase", F.lit(sessions.NONE))
     every = held.unionByName(rest, allowMissingColumns=True)
     result = reports.outcome(F.col("insurer_name"), F.col("has_url"), F.col("needs_session"), F.col("phase"), F.col("closes"))
     return every.select("delivery_tag", "pos", result.alias("outcome"))
+
+
+@query("scrape_flow", f"""
+WITH t AS (SELECT page_id, page_id % 4 AS kind, url, html FROM pages UNION ALL SELECT page_id, page_id % 4, url, html FROM pages WHERE page_id % 10 = 0
+  UNION ALL SELECT page_id, 1, 'https://none/' || page_id, NULL FROM pages WHERE page_id % 7 = 0),
+p AS (SELECT t.page_id, kind, t.url, n.html FROM t LEFT JOIN (SELECT url, max_by(html, page_id) AS html FROM pages GROUP BY 1) n ON n.url = t.url)
+SELECT page_id, url, coalesce({TITLE_SQL}, '') AS title, CASE WHEN html IS NULL THEN 'page was not captured' ELSE '' END AS error_message,
+  CAST(CASE WHEN html IS NOT NULL THEN 200 END AS INTEGER) AS status_code,
+  CASE WHEN html IS NULL THEN NULL WHEN kind = 1 THEN {H1_SQL} WHEN kind = 2 THEN {AD_SQL} WHEN kind = 3 THEN '' END AS one,
+  CASE WHEN html IS NULL THEN NULL WHEN kind = 2 THEN {NAV_SQL} WHEN kind = 3 THEN {FOOTER_SQL} END AS two,
+  CASE WHEN html IS NOT NULL AND kind = 0 THEN len(list_slice({HREFS_SQL}, 1, 10)) END AS n_links FROM p""")
+def scrape_flow(spark, sf_dir):
+    """Scrape tasks with selectors of their own, end to end: task, page, selection or links, record."""
+    source = table(spark, sf_dir, "pages")
+    maps = {1: {"one": "h1"}, 2: {"one": "div.ad", "two": "nav ul > li a"}, 3: {"one": "#none", "two": "footer"}}
+    selectors = F.create_map().cast(messages.MAP_TYPE)
+    for kind, chosen in maps.items():
+        pairs = F.create_map(*[F.lit(x) for pair in chosen.items() for x in pair])
+        selectors = F.when(F.col("kind") == kind, pairs).otherwise(selectors)
+    kind = (F.col("page_id") % 4).alias("kind")
+    asked = (source.select("page_id", "url", kind).unionAll(source.where("page_id % 10 = 0").select("page_id", "url", kind))
+             .unionAll(source.where("page_id % 7 = 0").select("page_id", F.concat(F.lit("https://none/"), "page_id").alias("url"), F.lit(1).cast("long"))))
+    inbox = messages.make_tasks(asked, selectors=selectors, created=F.lit(0.0)).select(F.col("page_id").alias("delivery_tag"), "body")
+    tasks = messages.read_tasks(inbox).filter(F.col("disposition") == messages.ACK)
+    scraped = pages.scrape(tasks.select("delivery_tag", "url", "rendered", "selectors"), source)
+    records = messages.scrape_records(scraped, F.lit(0).cast("long"), F.lit(1_500_000).cast("long"), keep=("delivery_tag",))
+    made = F.from_json("extracted", "extracted map<string,string>, links array<string>")
+    return records.select(F.col("delivery_tag").alias("page_id"), "url", "title", "error_message", "status_code",
+                          made["extracted"]["one"].alias("one"), made["extracted"]["two"].alias("two"),
+                          F.when(made["links"].isNotNull(), F.size(made["links"])).cast("long").alias("n_links"))

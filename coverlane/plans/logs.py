@@ -157,10 +157,9 @@ def active_set(spark, sf_dir):
 
 
 @query("cache_contents", """
-SELECT count(DISTINCT event_type) AS n, (SELECT string_agg(event_type, ',' ORDER BY event_type) FROM (SELECT DISTINCT event_type FROM events)) AS names FROM events""")
+SELECT DISTINCT event_type, (SELECT count(DISTINCT event_type) FROM events) AS n FROM events WHERE event_type IS NOT NULL""")
 def cache_contents(spark, sf_dir):
-    names = reports.name_list(table(spark, sf_dir, "events"), "event_type")
-    return names.select("n", F.array_join("names", ",").alias("names"))
+    return reports.name_list(table(spark, sf_dir, "events"), "event_type")
 
 
 @query("nav_changes", """

@@ -26,6 +26,11 @@ AD_SQL = _plain_sql("trim(regexp_extract(html, '(?s)<div class=\"ad\">(.*?)</div
 NAV_SQL = "regexp_extract(html, '(?s)<nav><ul><li><a href=\"[^\"]*\">(.*?)</a>', 1)"
 
 
+BODY_SQL = "regexp_replace(substr(html, instr(html, '<body>')), '<[^>]*>', ' ', 'g')"
+# The pages leave <b> open, so it ends with its paragraph.
+BOLD_SQL = _plain_sql("trim(regexp_replace(regexp_extract(html, '(?s)<b>(.*?)(?:</?p>|</article>)', 1), '<[^>]*>', ' ', 'g'))")
+
+
 @query("page_title", f"SELECT page_id, {TITLE_SQL} AS title FROM pages")
 def page_title(spark, sf_dir):
     return spread_table(spark, sf_dir, "pages").select("page_id", html.title(F.col("html")).alias("title"))
@@ -39,7 +44,7 @@ def page_links10(spark, sf_dir):
 
 @query("page_links_all", f"SELECT page_id, unnest({HREFS_SQL}) AS href FROM pages")
 def page_links_all(spark, sf_dir):
-    return pages.all_links(pages.with_elements(spread_table(spark, sf_dir, "pages"))).select("page_id", "href")
+    return pages.page_links(spread_table(spark, sf_dir, "pages")).select("page_id", "href")
 
 
 @query("link_relevance", f"""
@@ -104,11 +109,15 @@ def error_banner(spark, sf_dir):
 
 @query("login_outcome", f"""
 SELECT page_id, CASE WHEN url LIKE '%blog%' THEN true WHEN {TITLE_SQL} LIKE '%De%' THEN true
-  WHEN lower({AD_SQL}) LIKE '%the%' OR lower({AD_SQL}) LIKE '%der%' THEN false ELSE true END AS logged_in FROM pages""")
+  WHEN lower({BODY_SQL}) LIKE '%schkeit%' OR lower({BODY_SQL}) LIKE '%eauxou%' THEN false ELSE true END AS logged_in,
+  CASE WHEN html LIKE '%<br>%' THEN '' ELSE 'br' END || CASE WHEN html LIKE '%<b>%' THEN '' ELSE 'article b' END || 'form' AS warnings FROM pages""")
 def login_outcome(spark, sf_dir):
-    parsed = pages.selected(pages.with_elements(spread_table(spark, sf_dir, "pages")), {"ad": "div.ad"})
-    view = parsed.select("page_id", "url", html.title(F.col("html")).alias("title"), F.lower(F.col("extracted")["ad"]).alias("body_text"))
-    return pages.login_outcome(view, "blog", "De", ["the", "der"]).select("page_id", "logged_in")
+    """Forbidden text anywhere on the page, and a list of expected elements that are not there."""
+    parsed = pages.missing_elements(pages.with_elements(spread_table(spark, sf_dir, "pages")), ["br", "article b", "form"])
+    body = html.text_of(F.col("els"), html.select_one(F.col("els"), "body"), " ")
+    view = parsed.select("page_id", "url", "warnings", html.title(F.col("html")).alias("title"), F.lower(body).alias("body_text"))
+    out = pages.login_outcome(view, "blog", "De", ["schkeit", "eauxou"])
+    return out.select("page_id", "logged_in", F.array_join("warnings", "").alias("warnings"))
 
 
 @query("url_state", """
@@ -156,10 +165,11 @@ FIELDS = [
 
 @query("capture_values", f"""
 SELECT page_id, 'head' AS field_name, {H1_SQL} AS value FROM pages UNION ALL SELECT page_id, 'note', {AD_SQL} FROM pages
-UNION ALL SELECT page_id, 'query', NULL FROM pages""")
+UNION ALL SELECT page_id, 'query', NULL FROM pages UNION ALL SELECT page_id, 'break', CASE WHEN html LIKE '%<br>%' THEN '' END FROM pages
+UNION ALL SELECT page_id, 'bold', CASE WHEN html LIKE '%<b>%' THEN {BOLD_SQL} END FROM pages""")
 def capture_values(spark, sf_dir):
     found = pages.capture(pages.with_elements(spread_table(spark, sf_dir, "pages")), FIELDS)
-    return found.filter(F.col("field_name").isin("head", "note", "query")).select("page_id", "field_name", "value")
+    return found.select("page_id", "field_name", "value")
 
 
 # A result page per customer, written out in SQL that both engines read.
