@@ -36,14 +36,16 @@ SCHEMA = T.StructType([T.StructField(name, T.StringType()) for name in HEADERS]
                       + [T.StructField("payload", T.BinaryType())])
 
 
-def write_pages(pages: DataFrame, path: str, least_revisit: int = 1000, date: str = "2000-01-01T00:00:00Z") -> None:
+def write_pages(pages: DataFrame, path: str, least_revisit: int = 1000, date: str = "2000-01-01T00:00:00Z",
+                compression: str = "gzip") -> None:
     """A record per row of ``pages`` (``page_id, url, html``), in archives under ``path``.
 
     The payload is the html in UTF-8, empty if null. Of rows with equal payloads of
     ``least_revisit`` bytes or more, those with the largest ``page_id`` are responses, the
     others revisits of it without payload. A null ``page_id`` counts as smallest and is an
     empty number in the record's name; a null url has no header; line breaks in a url are
-    percent-encoded. Repeated rows are repeated records. Other columns are left out.
+    percent-encoded. Repeated rows are repeated records. Other columns are left out. With
+    ``compression`` none, the reader can pass over payloads without reading them.
     """
     html = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", html.alias("_html"), F.octet_length(html).cast("long").alias("_bytes"), F.sha1(html.cast("binary")).alias("_sha1"))
@@ -71,7 +73,7 @@ def write_pages(pages: DataFrame, path: str, least_revisit: int = 1000, date: st
         F.lit(BREAK + HTTP),
         F.when(revisit, "").otherwise(F.col("_html")),
     )
-    marked.select(record.alias("value")).write.option("lineSep", BREAK * 2).text(path)
+    marked.select(record.alias("value")).write.option("lineSep", BREAK * 2).option("compression", compression).text(path)
 
 
 class Files(InputPartition):

@@ -12,9 +12,9 @@ PAGES = [(1, "http://a/", BIG, 0), (2, "http://b/\r\nX: y", BIG, 0), (3, None, N
          (5, "http://e/", "small", 0), (6, "http://f/", "small", 0), (2, "http://b/\r\nX: y", BIG, 0), (7, "http://g/", "x" * 300_000, 0)]
 
 
-def written(spark, tmp_path, rows=PAGES):
+def written(spark, tmp_path, rows=PAGES, **options):
     path = f"{tmp_path}/archive"
-    warc.write_pages(spark.createDataFrame(rows, "page_id long, url string, html string, payload int"), path)
+    warc.write_pages(spark.createDataFrame(rows, "page_id long, url string, html string, payload int"), path, **options)
     return path
 
 
@@ -51,7 +51,7 @@ def test_unwanted_payloads_are_not_read(spark, tmp_path):
             self.taken += n
             return super().read(n)
 
-    data = b"".join(open(f, "rb").read() for f in sorted(glob.glob(written(spark, tmp_path) + "/part-*")))
+    data = b"".join(open(f, "rb").read() for f in sorted(glob.glob(written(spark, tmp_path, compression="none") + "/part-*")))
     file = Counting(data)
     tests = [("record_type", lambda x: x == "revisit")]
     assert len(list(warc.records(file, tests, True))) == 2 and file.taken == 0
