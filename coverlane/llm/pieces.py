@@ -3,9 +3,10 @@
 Pieces that fit a text form a lattice. A forward Viterbi pass gives the best score from the
 start to every place; searched backward from the end, these scores are exact heuristics, so
 A* takes segmentations off its agenda best first. No piece spans two characters that are
-neighbours in no piece, so the lattice is cut there into segments, which repeat and are
-searched once; the best segmentations of a text are its segments' best but for a few places
-with the smallest losses, found best first in the same way.
+neighbours in no piece, so the lattice is cut there into segments, which repeat. Best scores
+give each segment's best segmentation and how much its second best loses;
+the best segmentations of a text differ only at the few places of smallest loss, so A* runs
+at these, and their combinations are taken best first.
 """
 
 from __future__ import annotations
@@ -67,7 +68,8 @@ class Lattice:
     def clear(self) -> None:
         self.words: dict[str, bytes] = {}
         self.number: dict[str, int] = {}
-        self.best, self.gaps, self.ids = array("d"), [array("d") for _ in range(self.n - 1)], []
+        self.best, self.gap, self.ids, self.texts = array("d"), array("d"), [], []
+        self.ranked: dict[int, list[tuple[float, bytes]]] = {}
 
     def search(self, text: str) -> list[tuple[float, list[int]]]:
         """The ``n`` best segmentations of a text, as scores and ids, best first."""
@@ -109,17 +111,61 @@ class Lattice:
                 heapq.heappush(agenda, (-(best[i] + done + score), count, i, done + score, (piece, path)))
         return out
 
+    def _best(self, text: str) -> tuple[float, float, list[int]]:
+        """The best score, what the second best loses against it, and the best ids.
+
+        Any other segmentation leaves the best one at some place by another piece. So the
+        loss is the least one among the places of the best segmentation, where each is that
+        of the second best way from there to the end.
+        """
+        pieces, size, low = self.pieces.get, len(text), -math.inf
+        rest, loss, way = [0.0] * (size + 1), [0.0] * size, [None] * size
+        for i in range(size - 1, -1, -1):
+            first = second = low
+            for j in range(i + 1, size + 1):
+                found = pieces(text[i:j])
+                if found:
+                    value = found[0] + rest[j]
+                    if value > first:
+                        first, second, way[i] = value, first, (j, found[1])
+                    elif value > second:
+                        second = value
+                elif j == i + 1:
+                    first, way[i] = self.unknown + rest[j], (j, -1 - i)
+                    if found is None:
+                        break
+                elif found is None:
+                    break
+            rest[i], loss[i] = first, first - second
+        ids, at, least = [], 0, math.inf
+        while at < size:
+            if loss[at] < least:
+                least = loss[at]
+            at, piece = way[at]
+            ids.append(piece)
+        if min(ids) < 0:
+            ids = [x for p in ids for x in ((p,) if p >= 0 else [self.byte[b] for b in text[-1 - p].encode("utf-8", "surrogatepass")])]
+        return rest[0], least, ids
+
     def _segment(self, text: str) -> int:
         number = self.number.get(text)
         if number is None:
-            found = self.search(text)
-            number = self.number[text] = len(self.best)
-            self.best.append(found[0][0])
-            for k, gap in enumerate(self.gaps, 1):
-                gap.append(found[0][0] - found[k][0] if k < len(found) else math.inf)
-            self.ids.append([np.array(ids, "<u4").tobytes() for _, ids in found])
+            best, gap, ids = self._best(text)
+            number = self.number[text] = len(self.ids)
+            self.best.append(best)
+            self.gap.append(gap)
+            self.ids.append(array("I", ids).tobytes())
+            self.texts.append(text)
         return number
 
+    def _ranks(self, number: int) -> list[tuple[float, bytes]]:
+        """The ``n`` best of a segment: loss and ids, the best one as stored first."""
+        if number not in self.ranked:
+            found = [(self.best[number] - s, array("I", ids).tobytes()) for s, ids in self.search(self.texts[number])]
+            others = [(max(0.0, loss), ids) for loss, ids in found if ids != self.ids[number]]
+            self.ranked[number] = [(0.0, self.ids[number]), *others][: self.n]
+        return self.ranked[number]
+
     def _word(self, word: str) -> bytes:
         at, out = 0, array("i")
         for i in range(1, len(word)):
@@ -141,29 +187,29 @@ class Lattice:
         segments = np.frombuffer(b"".join(map(self.words.__getitem__, words)), np.int32)
         best = float(np.frombuffer(self.best, np.float64)[segments].sum())
         numbers = segments.tolist()
-        codes = [self.ids[i][0] for i in numbers]
+        codes = [self.ids[i] for i in numbers]
         out = [(best, b"".join(codes))]
         if self.n == 1:
             return out
-        first = np.frombuffer(self.gaps[0], np.float64)[segments]
+        first = np.frombuffer(self.gap, np.float64)[segments]
         few = min(self.n - 1, len(first))
         # with n - 1 places of smallest loss at hand, no other place is in the n best
         places = sorted(np.argsort(first, kind="stable")[:few].tolist()) if len(first) < 64 else sorted(self._smallest(first, few))
-        loss = [[0.0, *(g[numbers[p]] for g in self.gaps)] for p in places]
+        choices = [self._ranks(numbers[p]) for p in places]
         agenda, seen = [], set()
 
         def push(ranks: tuple[int, ...]) -> None:
-            if ranks not in seen and (total := sum(loss[k][r] for k, r in enumerate(ranks))) < math.inf:
+            if ranks not in seen and all(r < len(c) for r, c in zip(ranks, choices, strict=True)):
                 seen.add(ranks)
-                heapq.heappush(agenda, (total, ranks))
+                heapq.heappush(agenda, (sum(c[r][0] for r, c in zip(ranks, choices, strict=True)), ranks))
 
         push((0,) * few)
         while agenda:
             total, ranks = heapq.heappop(agenda)
             if any(ranks):
                 other = list(codes)
-                for p, r in zip(places, ranks, strict=True):
-                    other[p] = self.ids[numbers[p]][r]
+                for p, r, c in zip(places, ranks, choices, strict=True):
+                    other[p] = c[r][1]
                 out.append((best - total, b"".join(other)))
                 if len(out) == self.n:
                     break
