@@ -95,8 +95,8 @@ def _stats(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 def with_stats(docs: DataFrame) -> DataFrame:
     """``docs`` with the columns of STATS (columns of these names are replaced); a null text has no words."""
-    kept = docs.drop(*STATS).withColumn("_stats", _stats("text"))
-    return kept.select(*[F.col(f"`{c}`") for c in kept.columns if c != "_stats"], "_stats.*")
+    kept = docs.drop(*STATS).withColumn("_quality_stats", _stats("text"))
+    return kept.select(*[F.col(f"`{c}`") for c in kept.columns if c != "_quality_stats"], "_quality_stats.*")
 
 
 class Condition(NamedTuple):

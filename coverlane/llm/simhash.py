@@ -238,14 +238,14 @@ def deduplicate(docs: DataFrame, shingle: int = 4, distance: int = 4, seed: int
 
     Of a row repeated with its ``doc_id`` and text, one stays.
     """
-    key = {"_none": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0).cast("long")), "_text": F.xxhash64(F.coalesce("text", F.lit("")))}
+    key = {"_simhash_none": F.col("doc_id").isNull(), "_simhash_id": F.coalesce("doc_id", F.lit(0).cast("long")), "_simhash_text": F.xxhash64(F.coalesce("text", F.lit("")))}
     member = groups(docs, shingle, distance, seed)
     first = member.groupBy("group").agg(
         F.min_by(F.struct("doc_id", "text_hash"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first"))
-    first = first.select(F.col("first.doc_id").isNull().alias("_none"), F.coalesce("first.doc_id", F.lit(0).cast("long")).alias("_id"),
-                         F.col("first.text_hash").alias("_text"))
+    first = first.select(F.col("first.doc_id").isNull().alias("_simhash_none"), F.coalesce("first.doc_id", F.lit(0).cast("long")).alias("_simhash_id"),
+                         F.col("first.text_hash").alias("_simhash_text"))
     once = F.row_number().over(Window.partitionBy(*key).orderBy(*key))
-    return docs.withColumns(key).join(settle(first, "first"), list(key), "left_semi").withColumn("_once", once).where("_once = 1").drop(*key, "_once")
+    return docs.withColumns(key).join(settle(first, "first"), list(key), "left_semi").withColumn("_simhash_once", once).where("_simhash_once = 1").drop(*key, "_simhash_once")
 
 
 @query("op8_simhash_near_dedup")

@@ -324,8 +324,8 @@ def tag(docs: DataFrame, model: Crf, least: float = 0.5) -> DataFrame:
                 score = 1 / (1 + np.exp(-(model.scale[0] + model.scale[1] * values)))
             yield pd.DataFrame({"score": score, "spans": [spans_of(t, q, least) for t, q in zip(texts, p, strict=True)]})
 
-    kept = docs.drop("score", "spans").withColumn("_tagged", scored("text"))
-    return kept.select(*[F.col(f"`{c}`") for c in kept.columns if c != "_tagged"], "_tagged.*")
+    kept = docs.drop("score", "spans").withColumn("_toxicity_tagged", scored("text"))
+    return kept.select(*[F.col(f"`{c}`") for c in kept.columns if c != "_toxicity_tagged"], "_toxicity_tagged.*")
 
 
 def held_out(doc_id: Column | str) -> Column:

@@ -136,13 +136,13 @@ def judge(pages: DataFrame, links: DataFrame, rules: list[Rule]) -> DataFrame:
         F.coalesce(F.bool_or(F.col("_own") == "allow"), F.lit(False)).alias("_allowed"),
         F.coalesce(F.bool_or(F.col("_own") == "block"), F.lit(False)).alias("_blocked"))
     blocked = (nodes.join(spread, "component").where("_blocked AND NOT _allowed")
-               .select(F.col("node").alias("_node"), F.lit("block").alias("_spread")))
-    judged = pages.withColumns({"host": host(F.col("url")), "path": path(F.col("url")), "_node": of("url")})
-    judged = judged.withColumn("_best", best_rule(rules, F.col("host"), F.col("path")))
-    verdict = F.coalesce(F.col("_best.verdict"), F.col("_spread"), F.lit("allow"))
-    return (judged.join(blocked, "_node", "left")
-            .withColumns({"rule": F.col("_best.rule"), "verdict": verdict})
-            .drop("_node", "_best", "_spread"))
+               .select(F.col("node").alias("_urls_node"), F.lit("block").alias("_urls_spread")))
+    judged = pages.withColumns({"host": host(F.col("url")), "path": path(F.col("url")), "_urls_node": of("url")})
+    judged = judged.withColumn("_urls_best", best_rule(rules, F.col("host"), F.col("path")))
+    verdict = F.coalesce(F.col("_urls_best.verdict"), F.col("_urls_spread"), F.lit("allow"))
+    return (judged.join(blocked, "_urls_node", "left")
+            .withColumns({"rule": F.col("_urls_best.rule"), "verdict": verdict})
+            .drop("_urls_node", "_urls_best", "_urls_spread"))
 
 
 RULES = [Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/")]
