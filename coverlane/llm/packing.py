@@ -29,7 +29,7 @@ class Encoder:
     are ordinary text.
     """
 
-    def __init__(self, spec: str, most: int = 400_000):
+    def __init__(self, spec: str, most: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)

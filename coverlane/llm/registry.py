@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,11 +16,28 @@ CHECKS: dict[str, str] = {}
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows that go to Python at a time: texts can be long, and a batch is held on both sides.
+BATCH_ROWS = 2_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's rows per Arrow batch to BATCH_ROWS, unless it is lower already."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def query(name: str, check: str | None = None) -> Callable[[Query], Query]:
     """Register a query under a name, with the SQL that gives the same rows where there is one."""
 
     def keep(fn: Query) -> Query:
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            small_batches(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if check is not None:
             CHECKS[name] = check
         return fn

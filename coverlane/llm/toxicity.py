@@ -56,7 +56,7 @@ def features(word: str) -> tuple[list[int], list[int], list[int]]:
 class Vocabulary:
     """Numbers for words, with the three emission parts of each word once weights are known."""
 
-    def __init__(self, weights: np.ndarray | None = None, most: int = 400_000):
+    def __init__(self, weights: np.ndarray | None = None, most: int = 200_000):
         self.weights, self.most = None if weights is None else weights.tolist(), most
         self.clear()
 
