@@ -146,12 +146,17 @@ def token_labels(docs: list[list[str]], toxic: np.ndarray) -> set[str]:
     """
     bad, good = Counter(), Counter()
     for words, is_toxic in zip(docs, toxic, strict=True):
-        (bad if is_toxic else good).update({f for w in set(words) for f in forms(w)})
+        if is_toxic:
+            bad.update({f for w in set(words) for f in forms(w)})
     n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    most = 2 * np.log(max(len(bad), 2) / 0.05)
+    most, least = 2 * np.log(max(len(bad), 2) / 0.05), max(3, n1 / 50)
+    bad = {f: a for f, a in bad.items() if a >= least}
+    for words, is_toxic in zip(docs, toxic, strict=True):
+        if not is_toxic:
+            good.update({f for w in set(words) for f in forms(w) if f in bad})
 
     def beyond_chance(a: int, b: int) -> bool:
-        if a < max(3, n1 / 50) or a < 9 * b * n1 / n0 or a < 4 * b:
+        if a < least or a < 9 * b * n1 / n0 or a < 4 * b:
             return False
         x = np.array([[a, n1 - a], [b, n0 - b]], float)
         expected = x.sum(1, keepdims=True) * x.sum(0, keepdims=True) / x.sum()
@@ -190,9 +195,12 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = 4, batch_tokens: in
     coded = [vocabulary.ids(d) for d in docs]
     words = list(vocabulary.number)
     hit = np.array([any(f in marks for f in forms(w)) for w in words], bool)
-    cells = [features(w) for w in words]
-    flat = [np.concatenate([c[k] for c in cells]) if cells else np.zeros(0, int) for k in range(3)]
-    ends = [np.cumsum([0, *(len(c[k]) for c in cells)]) for k in range(3)]
+    buckets, sizes = [array("q") for _ in range(3)], [array("q", [0]) for _ in range(3)]
+    for word in words:
+        for k, found in enumerate(features(word)):
+            buckets[k].extend(found)
+            sizes[k].append(len(found))
+    flat, ends = [np.array(x, np.int64) for x in buckets], [np.cumsum(x) for x in sizes]
     weights, start, step = np.zeros(BUCKETS), np.zeros(2), np.zeros((2, 2))
     past, past_start, past_step = np.full(BUCKETS, 1e-4), np.full(2, 1e-4), np.full((2, 2), 1e-4)
     order, rng = np.flatnonzero([len(c) for c in coded]), np.random.default_rng(seed)
