@@ -141,15 +141,16 @@ def marginals(e: np.ndarray, first: np.ndarray, start: np.ndarray, step: np.ndar
 def token_labels(docs: list[list[str]], toxic: np.ndarray) -> set[str]:
     """Words and beginnings that mark toxic documents far beyond chance, however many were tried.
 
-    One in fifty of the toxic documents must have it, and in as many places: between the same
-    neighbours it counts once, so a word that only a group of copies shares is no mark.
+    Three toxic documents must have it, and in as many places: between the same neighbours it
+    counts once, so a word that only a group of copies shares is no mark. The floor doesn't grow
+    with the sample, so more labels also teach rarer words.
     """
     bad, good = Counter(), Counter()
     for words, is_toxic in zip(docs, toxic, strict=True):
         if is_toxic:
             bad.update({f for w in set(words) for f in forms(w)})
     n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    most, least = 2 * np.log(max(len(bad), 2) / 0.05), max(3, n1 / 50)
+    most, least = 2 * np.log(max(len(bad), 2) / 0.05), 3
     bad = {f: a for f, a in bad.items() if a >= least}
     for words, is_toxic in zip(docs, toxic, strict=True):
         if not is_toxic:

@@ -58,6 +58,19 @@ def test_training_finds_planted_words_and_their_forms():
     assert p[0].argmax() == 2 and toxicity.spans_of("w1 w2 awfulness w3 w4", p[0], p[0].max())[0]["start"] == 6
 
 
+def test_rare_toxic_words_are_learned():
+    """Two words in one of a hundred toxic documents each: few, but never in a clean one."""
+    r = np.random.default_rng(4)
+    words, kind = [f"w{i}" for i in range(300)], ["zorvex", "quimbly"]
+    docs = [r.choice(words, 40).tolist() for _ in range(4000)]
+    toxic = np.arange(4000) % 2 == 0
+    for n, i in enumerate(np.flatnonzero(toxic).tolist()):
+        for at in r.choice(40, 3, replace=False):
+            docs[i][at] = kind[n // 50 % 2] if n % 50 == 0 else "awful"
+    marks = toxicity.token_labels(docs, toxic)
+    assert {"awful", *kind} <= marks and not marks & set(words)
+
+
 def test_odd_rows_and_clashing_columns(spark):
     texts, toxic = corpus(300)
     docs = spark.createDataFrame([*((i, t, "x") for i, t in enumerate(texts)), (900, None, "x"), (900, "", "x"), (None, "İawful " * 3000, "x")],
