@@ -26,7 +26,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,25 +82,39 @@ def encode_text(enc, text: str | None, size: int = PART_CHARS) -> list[int]:
 
 
 def encode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", size: int = PART_CHARS) -> DataFrame:
-    """``docs`` with ``ids`` (array of int) of the text and ``decoded`` (binary), the bytes of those ids."""
-    out_type = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.BinaryType())])
+    """``docs`` with ``ids`` (array of int) of the text and ``decoded`` (binary), the bytes of those ids.
 
-    @F.pandas_udf(out_type)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    One Arrow pass: ids are kept as int32 arrays, not Python lists, while a batch is built.
+    """
+    keep = [c for c in docs.columns if c not in ("ids", "decoded")]
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_bpe_text"))
+    schema = T.StructType([f for f in source.schema.fields if f.name != "_bpe_text"]
+                          + [T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(rank_file, pattern)
         for batch in batches:
-            ids = [encode_text(enc, t, size) for t in batch]
-            decoded = [enc.decode_bytes(x) for x in ids]
-            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series(decoded, dtype=object)})
+            coded = [np.asarray(encode_text(enc, t, size), dtype=np.int32) for t in batch.column("_bpe_text").to_pylist()]
+            offsets = np.zeros(len(coded) + 1, dtype=np.int32)
+            np.cumsum([len(x) for x in coded], out=offsets[1:])
+            flat = np.concatenate(coded) if coded else np.zeros(0, np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()),
+                                           type=pa.list_(pa.field("element", pa.int32(), False)))
+            decoded = pa.array([enc.decode_bytes(x.tolist()) for x in coded], pa.binary())
+            columns = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "_bpe_text"]
+            yield pa.RecordBatch.from_arrays(columns + [ids, decoded], names=[f.name for f in schema.fields])
+
+    return source.mapInArrow(run, schema)
+
 
-    keep = [F.col(f"`{c}`") for c in docs.columns if c not in ("ids", "decoded")]
-    return docs.select(*keep, run(F.col(text)).alias("_bpe")).select(*keep, "_bpe.ids", "_bpe.decoded")
+def ids_sha256(ids) -> F.Column:
+    """Lowercase hex SHA-256 of ids as little-endian unsigned 32-bit integers, in Spark expressions."""
 
+    def little_endian(x):
+        h = F.lpad(F.hex(x.cast("long")), 8, "0")
+        return F.concat(F.substring(h, 7, 2), F.substring(h, 5, 2), F.substring(h, 3, 2), F.substring(h, 1, 2))
 
-@F.pandas_udf(T.StringType())
-def ids_sha256(ids: pd.Series) -> pd.Series:
-    """Lowercase hex SHA-256 of ids as little-endian unsigned 32-bit integers."""
-    return pd.Series([hashlib.sha256(np.asarray(x if x is not None else [], dtype="<u4").tobytes()).hexdigest() for x in ids])
+    return F.sha2(F.unhex(F.array_join(F.transform(ids, little_endian), "")), 256)
 
 
 @query("op13_byte_bpe")
