@@ -53,6 +53,13 @@ def insert_rows(rows: DataFrame, moment: Column) -> DataFrame:
         moment.alias("created_at"), F.lit(ACTIVE).cast("byte").alias("status"))
 
 
+def without_known(source: DataFrame, target: DataFrame) -> DataFrame:
+    """Messages without a key whose row (by its id, made from the message) is in the target already are dropped."""
+    known = target.select(F.col("id").alias("_known")).distinct()
+    marked = source.withColumn("_id", F.when(~_keyed(), text.stable_id(*ORDER)))
+    return marked.join(known, marked["_id"] == known["_known"], "left_anti").drop("_id")
+
+
 def apply_updates(target: DataFrame, updates: DataFrame, key: str = "id", values: tuple[str, ...] = VALUES) -> DataFrame:
     """Target rows with the listed values replaced where an update exists for their key."""
     renamed = updates.select(key, F.struct(*values).alias("_new"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from coverlane import session
-from coverlane.operators import messages
+from coverlane.operators import messages, upsert
 from coverlane.plans.messages import BODY
 from coverlane.plans.registry import query, table
 from coverlane.schemas import NAME_PARTS
@@ -69,14 +69,16 @@ m AS (SELECT o_custkey * 2 + 2 AS invoice_id, max_by(CAST(o_orderkey AS VARCHAR)
 SELECT t.invoice_id, coalesce(m.policy_no, 'old') AS policy_no, t.status FROM t LEFT JOIN m ON m.invoice_id = t.invoice_id AND t.status = 1
 UNION ALL SELECT invoice_id, policy_no, 1 FROM m WHERE invoice_id NOT IN (SELECT invoice_id FROM t WHERE status = 1)""")
 def stream_upsert(spark, sf_dir):
-    """Orders streamed in three files into a versioned invoice table, the last by a second stream, one batch repeated."""
+    """Orders streamed in three files into a keyed invoice table, the last by a second stream, one batch repeated.
+
+    Each batch rewrites only the hash partitions of the keys it holds."""
     base = session.fresh_dir(spark, "upsert")
     blank = {c: F.lit("") for c in NAME_PARTS}
     start = table(spark, sf_dir, "customer").select(
         F.concat(F.lit("T"), "c_custkey").alias("id"), F.col("c_custkey").alias("invoice_id"), F.lit(1).cast("long").alias("insurer_id"),
         F.lit("d").alias("doc_id"), F.lit("old").alias("policy_no"), F.lit("0").alias("dependent_no"),
         F.when(F.col("c_nationkey") < 5, 0).otherwise(1).cast("byte").alias("status"))
-    tables.write_version(start.withColumns(blank).withColumn("created_at", F.lit(None).cast("timestamp")), f"{base}/table", 0)
+    tables.create_keyed(start.withColumns(blank).withColumn("created_at", F.lit(None).cast("timestamp")), f"{base}/table", upsert.KEY)
     source = "delivery_tag long, pos int, invoice_id long, insurer_id long, doc_id string, policy_no string, dependent_no string"
     orders = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("delivery_tag"), F.lit(0).alias("pos"), (F.col("o_custkey") * 2 + 2).alias("invoice_id"), F.lit(1).cast("long").alias("insurer_id"),
@@ -89,4 +91,4 @@ def stream_upsert(spark, sf_dir):
         each = queue.upsert_batches(f"{base}/table", lambda batch: batch.withColumns(blank), stream)
         queue.run_available(read, each, f"{base}/state-{stream}").awaitTermination()
     each(orders.filter(parts[0]), 0)  # batch 0 of the second stream again: nothing happens
-    return tables.read_version(spark, f"{base}/table").select("invoice_id", "policy_no", F.col("status").cast("int").alias("status"))
+    return tables.read_keyed(spark, f"{base}/table").select("invoice_id", "policy_no", F.col("status").cast("int").alias("status"))

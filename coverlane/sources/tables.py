@@ -1,11 +1,12 @@
-"""Table access: parameterised SQL, appends by name, and versioned rewrites."""
+"""Table access: parameterised SQL, appends by name, and keyed tables rewritten by partition."""
 
 from __future__ import annotations
 
 from typing import Any
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -28,49 +29,57 @@ def create_if_absent(spark: SparkSession, name: str, schema: T.StructType, path:
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet{place}")
 
 
-# Rewrites without MERGE ------------------------------------------------------------
+# Tables partitioned by a hash of their key -----------------------------------------
 #
-# A table is a folder of complete versions ``v=<number>``, or ``v=<number>,<stream>,<batch>``
-# if a batch of a stream made it. A version counts once its success marker is there, so a
-# job that dies half-way changes nothing.
+# A keyed table is a Parquet folder partitioned by ``part``, a hash of the key columns.
+# A change rewrites only the partitions it touches, by Spark's dynamic partition
+# overwrite: the new files are staged and replace their partitions when the job commits,
+# so a job that dies half-way changes nothing, and untouched partitions keep their files.
+# ``_ledger`` beside the partitions (hidden from readers of the table) lists the
+# (stream, batch) pairs that were applied.
 
+PART = "part"
+BUCKETS = 64
 
-def _folders(spark: SparkSession, path: str) -> list[tuple[int, str]]:
-    """Complete versions, oldest first, each with its folder's name."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(conf)
-    if not fs.exists(root):
-        return []
-    found = []
-    for entry in fs.listStatus(root):
-        folder = entry.getPath()
-        done = jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")
-        if folder.getName().startswith("v=") and fs.exists(done):
-            found.append((int(folder.getName()[2:].split(",")[0]), folder.getName()))
-    return sorted(found)
 
+def bucket(*key: str, buckets: int = BUCKETS) -> Column:
+    """The partition of a row: a hash of its key columns, nulls included, modulo ``buckets``."""
+    return F.pmod(F.xxhash64(*[F.col(k) for k in key]), F.lit(buckets)).cast("int")
 
-def versions(spark: SparkSession, path: str) -> list[int]:
-    return [number for number, _ in _folders(spark, path)]
 
+def create_keyed(rows: DataFrame, path: str, key: tuple[str, ...], buckets: int = BUCKETS) -> None:
+    """A new keyed table at ``path`` from ``rows``."""
+    rows.withColumn(PART, bucket(*key, buckets=buckets)).write.mode("errorifexists").partitionBy(PART).parquet(path)
 
-def has_batch(spark: SparkSession, path: str, stream: str, batch: int) -> bool:
-    """Whether this batch of this stream is in a complete version already."""
-    return any(name.split(",")[1:] == [stream, str(batch)] for _, name in _folders(spark, path))
 
+def read_keyed(spark: SparkSession, path: str, parts: list[int] | None = None) -> DataFrame:
+    """The table, or only the listed partitions (pruned at the scan)."""
+    rows = spark.read.parquet(path)
+    return rows if parts is None else rows.where(F.col(PART).isin(parts))
 
-def read_version(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
-    """The newest complete version, or the newest one below ``before``."""
-    known = [name for v, name in _folders(spark, path) if before is None or v < before]
-    if not known:
-        raise ValueError(f"no complete version under {path}")
-    return spark.read.parquet(f"{path.rstrip('/')}/{known[-1]}")
 
+def overwrite_parts(rows: DataFrame, path: str) -> None:
+    """Replace the partitions that ``rows`` have (by their ``part``); all others stay as they are.
 
-def write_version(rows: DataFrame, path: str, version: int, batch: tuple[str, int] | None = None) -> None:
-    made_by = "".join(f",{part}" for part in batch or ())
-    rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/v={version}{made_by}")
+    Rows are dealt by partition first, so that each partition is written as one file.
+    """
+    rows.repartition(PART).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(path)
+
+
+def _ledger(path: str) -> str:
+    return f"{path.rstrip('/')}/_ledger"
+
+
+def applied(spark: SparkSession, path: str, stream: str, batch: int) -> bool:
+    """Whether this batch of this stream is in the ledger of the table."""
+    if not exists(spark, _ledger(path)):
+        return False
+    entries = spark.read.parquet(_ledger(path))
+    return bool(entries.where((F.col("stream") == stream) & (F.col("batch") == batch)).head(1))
+
+
+def record(spark: SparkSession, path: str, stream: str, batch: int) -> None:
+    spark.createDataFrame([(stream, batch)], "stream string, batch long").coalesce(1).write.mode("append").parquet(_ledger(path))
 
 
 def exists(spark: SparkSession, path: str) -> bool:

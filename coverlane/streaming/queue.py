@@ -91,20 +91,32 @@ def enrich_batches(catalog: Callable[[SparkSession], DataFrame], write: Callable
     return each
 
 
-def upsert_batches(target_path: str, to_source: Callable[[DataFrame], DataFrame], stream: str = "stream") -> Callable[[DataFrame, int], None]:
-    """Batch callback: apply each batch to the versioned target; one writer at a time.
+def upsert_batches(target_path: str, to_source: Callable[[DataFrame], DataFrame], stream: str = "stream",
+                   buckets: int = tables.BUCKETS) -> Callable[[DataFrame, int], None]:
+    """Batch callback: apply each batch to the keyed target, rewriting only the partitions it touches.
 
     ``stream`` names the checkpoint: batch numbers start again with a new one, which then
-    needs a new name. A batch makes the version after the newest and leaves its own name
-    there; one that is found there is not applied again.
+    needs a new name. A batch in the target's ledger is not applied again. A batch whose
+    data was written but whose ledger entry was not (a crash between the two) is applied
+    once more, which changes nothing: keyed messages set the same values again, and rows of
+    messages without key are not inserted again where their id (made from the message) is
+    there already. One writer at a time.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        if tables.has_batch(spark, target_path, stream, batch_id):
+        if tables.applied(spark, target_path, stream, batch_id):
             return
-        known = tables.versions(spark, target_path)
-        target = tables.read_version(spark, target_path)
-        tables.write_version(upsert.upsert(to_source(batch), target), target_path, known[-1] + 1, (stream, batch_id))
+        source = to_source(batch).withColumn("_part", tables.bucket(*upsert.KEY, buckets=buckets))
+        touched = [r[0] for r in source.select("_part").distinct().collect()]  # at most ``buckets`` rows
+        if touched:
+            target = tables.read_keyed(spark, target_path, touched)
+            columns = [c for c in target.columns if c != tables.PART]
+            source = upsert.without_known(source.drop("_part"), target)
+            merged = upsert.upsert(source, target.select(*columns))
+            # Dynamic overwrite stages the new files and swaps partitions at commit, so the
+            # partitions read here stay whole until then, also for tasks run again.
+            tables.overwrite_parts(merged.withColumn(tables.PART, tables.bucket(*upsert.KEY, buckets=buckets)), target_path)
+        tables.record(spark, target_path, stream, batch_id)
 
     return each

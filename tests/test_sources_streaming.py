@@ -1,4 +1,5 @@
 import json
+import shutil
 import uuid
 
 import pytest
@@ -29,14 +30,18 @@ def test_create_if_absent(spark, tmp_path):
     spark.sql(f"DROP TABLE {name}")
 
 
-def test_versions(spark, tmp_path):
-    path = str(tmp_path / "versioned")
-    tables.write_version(spark.range(3), path, 0)
-    tables.write_version(spark.range(5), path, 2)
-    assert tables.versions(spark, path) == [0, 2]
-    assert tables.read_version(spark, path).count() == 5 and tables.read_version(spark, path, before=2).count() == 3
-    with pytest.raises(ValueError):
-        tables.read_version(spark, str(tmp_path / "none"))
+def test_keyed_tables(spark, tmp_path):
+    path = str(tmp_path / "keyed")
+    tables.create_keyed(spark.range(100).withColumn("k", F.col("id") % 7), path, ("k",), buckets=4)
+    assert tables.read_keyed(spark, path).count() == 100 and tables.read_keyed(spark, path, [9]).count() == 0
+    one = tables.read_keyed(spark, path).where("part = 1")
+    big = one.where("id >= 50").count()
+    tables.overwrite_parts(one.where("id < 50"), path)
+    assert big > 0 and tables.read_keyed(spark, path).count() == 100 - big
+    assert not tables.applied(spark, path, "s", 0)
+    tables.record(spark, path, "s", 0)
+    assert tables.applied(spark, path, "s", 0) and not tables.applied(spark, path, "s", 1)
+    assert "stream" not in tables.read_keyed(spark, path).columns
     assert not tables.exists(spark, str(tmp_path / "none"))
 
 
@@ -93,7 +98,7 @@ def test_upsert_stream_equals_one_batch(spark, rows):
     blank = {c: F.lit("") for c in NAME_PARTS}
     schema = "id string, invoice_id long, insurer_id long, doc_id string, policy_no string, dependent_no string, status byte"
     target = spark.createDataFrame([("T", 1, 1, "d", "old", "0", 1)], schema).withColumns(blank).withColumn("created_at", F.lit(None).cast("timestamp"))
-    tables.write_version(target, f"{base}/table", 0)
+    tables.create_keyed(target, f"{base}/table", upsert.KEY)
     source = "delivery_tag long, pos int, invoice_id long, insurer_id long, doc_id string, policy_no string, dependent_no string"
     msgs = [(i, 0, i % 3, 1, f"D{i}", f"P{i}", "0") for i in range(12)]
     for part in range(3):
@@ -103,8 +108,38 @@ def test_upsert_stream_equals_one_batch(spark, rows):
     queue.run_available(stream, each, f"{base}/state").awaitTermination()
     once = upsert.upsert(spark.createDataFrame(msgs, source).withColumns(blank), target)
     names = ["invoice_id", "insurer_id", "doc_id", "policy_no", "dependent_no", "status"]
-    assert rows(tables.read_version(spark, f"{base}/table"), *names) == rows(once, *names)
-    assert tables.versions(spark, f"{base}/table") == [0, 1, 2, 3]
+    assert rows(tables.read_keyed(spark, f"{base}/table"), *names) == rows(once, *names)
+    assert spark.read.parquet(f"{base}/table/_ledger").count() == 3
+
+
+def test_batches_rewrite_only_touched_partitions_and_replays_change_nothing(spark, tmp_path, rows):
+    import os
+
+    path = str(tmp_path / "table")
+    blank = {c: F.lit("") for c in NAME_PARTS}
+    schema = "id string, invoice_id long, insurer_id long, doc_id string, policy_no string, dependent_no string, status byte"
+    source = "delivery_tag long, pos int, invoice_id long, insurer_id long, doc_id string, policy_no string, dependent_no string"
+    start = spark.createDataFrame([(f"T{i}", i, 1, "d", "old", "0", 1) for i in range(200)], schema)
+    tables.create_keyed(start.withColumns(blank).withColumn("created_at", F.lit(None).cast("timestamp")), path, upsert.KEY)
+
+    def files():
+        return {d: sorted(os.listdir(f"{path}/{d}")) for d in os.listdir(path) if d.startswith("part=")}
+
+    before = files()
+    msgs = spark.createDataFrame([(1, 0, 7, 1, "D", "P7", "0"), (2, 0, None, 1, "D", "N", "0"), (3, 0, 999, 1, "D", "P999", "0")], source)
+    each = queue.upsert_batches(path, lambda b: b.withColumns(blank), "s")
+    each(msgs, 0)
+    after = files()
+    touched = {f"part={r.p}" for r in msgs.select(tables.bucket(*upsert.KEY).alias("p")).distinct().collect()}
+    assert len(touched) <= 3 and len(before) >= 40
+    assert all(after[d] == before[d] for d in before if d not in touched)
+    assert all(after[d] != before.get(d) for d in touched)
+    once = rows(tables.read_keyed(spark, path), "id", "invoice_id", "policy_no")
+    assert len(once) == 202 and ("T7" in {r[0] for r in once})
+    # data written but no ledger entry (a crash between the two): applying again changes nothing
+    shutil.rmtree(f"{path}/_ledger")
+    each(msgs, 0)
+    assert rows(tables.read_keyed(spark, path), "id", "invoice_id", "policy_no") == once
 
 
 def test_catalog_is_read_for_each_batch(spark, tmp_path):
@@ -132,9 +167,9 @@ def test_upsert_after_restart_and_from_a_second_stream(spark, tmp_path):
     schema = "id string, invoice_id long, insurer_id long, doc_id string, policy_no string, dependent_no string, status byte"
     source = "delivery_tag long, pos int, invoice_id long, insurer_id long, doc_id string, policy_no string, dependent_no string"
     start = spark.createDataFrame([("T", 1, 1, "d", "old", "0", 1)], schema).withColumns(blank).withColumn("created_at", F.lit(None).cast("timestamp"))
-    tables.write_version(start, path, 0)
+    tables.create_keyed(start, path, upsert.KEY)
     batch = lambda policy: spark.createDataFrame([(1, 0, 1, 1, "D", policy, "0")], source)
-    policy = lambda: [r["policy_no"] for r in tables.read_version(spark, path).collect()]
+    policy = lambda: [r["policy_no"] for r in tables.read_keyed(spark, path).collect()]
     first, second = (queue.upsert_batches(path, lambda b: b.withColumns(blank), name) for name in ("one", "two"))
     first(batch("P0"), 0)
     first(batch("P1"), 1)
@@ -142,7 +177,7 @@ def test_upsert_after_restart_and_from_a_second_stream(spark, tmp_path):
     second(batch("Q0"), 0)
     assert policy() == ["Q0"]
     first(batch("P1"), 1)
-    assert policy() == ["Q0"] and tables.versions(spark, path) == [0, 1, 2, 3]
+    assert policy() == ["Q0"] and spark.read.parquet(f"{path}/_ledger").count() == 3
 
 
 def test_append_rejects_unknown_columns(spark, tmp_path):
