@@ -30,13 +30,13 @@ rows. Repeated rows count as separate documents. Other columns are ignored.
 from __future__ import annotations
 
 import math
+import re
 import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,7 +52,7 @@ SCALE = 1_000_000_000
 TOP = 10
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_TERM = regex.compile(TERM)
+_TERM = re.compile(TERM)
 _LOWER = str.maketrans(UPPER, LOWER)
 
 #: Keys in one shard of the perfect hash; bytes of shards broadcast at a time; dense cells a task holds.
@@ -284,61 +284,105 @@ def _counter(shared, shards: int, cells: int):
 
 
 def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, shard_keys: int = SHARD_KEYS,
-          round_bytes: int = ROUND_BYTES, cells: int = CELLS) -> DataFrame:
+          round_bytes: int = ROUND_BYTES, cells: int = CELLS, block_cells: int | None = None) -> DataFrame:
     """Rows (lang, source, part, item, value, rank) of parts ``pair`` and ``term``."""
     docs = normal(docs)
     kept = settle(kept_terms(docs, min_docs), "divergence-kept")
     hashed, shards = hashes(kept, shard_keys)
     counts = settle(recount(docs.select("lang", "source", "text"), hashed, shards, round_bytes, cells), "divergence-counts")
-    return scores(docs.select("lang", "source").distinct(), kept, counts, top)
+    return scores(docs.select("lang", "source").distinct(), kept, counts, top, block_cells or BLOCK_CELLS)
 
 
-def _weight(count, n, v):
-    return F.lit(1) + F.expr(f"({SCALE}BD * ({count} + 2)) div ({n} + 2 * {v})")
+#: Cells (sources x terms) of one dense block in the scoring tasks.
+BLOCK_CELLS = 1 << 22
+
+
+def _weights(counts: np.ndarray, n: np.ndarray, v: int) -> np.ndarray:
+    """p = 1 + floor(SCALE (count + 2) / (n + 2v)), exact; Python integers where int64 could overflow.
+
+    ``counts`` is (sources x terms) with ``n`` per source, or one row with a single ``n``.
+    """
+    wide = counts.size and int(counts.max()) + 2 > (2**62) // SCALE
+    c = counts.astype(object) if wide else counts
+    d = (n.astype(object) if wide else n) + 2 * v
+    return 1 + (SCALE * (c + 2)) // (d[:, None] if counts.ndim == 2 else d)
 
 
 def _f(p, q):
-    return F.expr(f"(({p} - {q}) * ({p} - {q})) div ({p} + {q})")
+    return ((p - q) * (p - q)) // (p + q)
+
+
+def _block(top: int):
+    """Scores of one (language, term bucket): pair sums over its terms and the best terms per source."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        lang, v = rows["lang"].iloc[0], int(rows["v"].iloc[0])
+        marks = rows[rows["term"].isna()].drop_duplicates("source")
+        sources = sorted(marks["source"], key=lambda x: x.encode())
+        at = {x: i for i, x in enumerate(sources)}
+        n = np.zeros(len(sources), np.int64)
+        n[[at[x] for x in marks["source"]]] = marks["n"].to_numpy(np.int64)
+        cells = rows[rows["term"].notna()]
+        terms = sorted(set(cells["term"]))
+        col = {t: j for j, t in enumerate(terms)}
+        dense = np.zeros((len(sources), len(terms)), np.int64)
+        if len(cells):
+            dense[[at[x] for x in cells["source"]], [col[t] for t in cells["term"]]] = cells["count"].to_numpy(np.int64)
+        p = _weights(dense, n, v)
+        q = _weights(dense.sum(axis=0), np.array(n.sum()), v)
+        out = []
+        for i, a in enumerate(sources):
+            sums = _f(p[i][None, :], p).sum(axis=1) if len(terms) else np.zeros(len(sources), np.int64)
+            out += [(lang, a, "pair", b, int(sums[j]), len(terms)) for j, b in enumerate(sources) if j != i]
+            above = np.flatnonzero((dense[i] > 0) & (p[i] > q))
+            values = _f(p[i][above], q[above])
+            best = sorted(zip((-int(x) for x in values), (terms[j].encode() for j in above)))[:top]
+            out += [(lang, a, "term", t.decode(), -x, 0) for x, t in best]
+        return pd.DataFrame(out, columns=["lang", "source", "part", "item", "value", "seen"])
 
+    return run
 
-def scores(groups: DataFrame, kept: DataFrame, counts: DataFrame, top: int = TOP) -> DataFrame:
-    """The two parts from groups, kept terms and the counts of kept terms per group."""
+
+def scores(groups: DataFrame, kept: DataFrame, counts: DataFrame, top: int = TOP, block_cells: int = BLOCK_CELLS) -> DataFrame:
+    """The two parts from groups, kept terms and the counts of kept terms per group.
+
+    Terms of a language are dealt into buckets so that (sources x terms of a bucket) stays
+    near ``block_cells``; one task scores a bucket densely in NumPy: the pair sums over its
+    terms (added up over buckets by Spark) and each source's best terms (of which Spark
+    keeps the best over buckets). Terms that no group of the language has cannot be kept,
+    so every kept term is in some bucket.
+    """
     v = kept.groupBy("lang").agg(F.count("*").alias("v"))
     n = counts.groupBy("lang", "source").agg(F.sum("count").alias("n"))
     g = (groups.join(v, "lang", "left").join(n, ["lang", "source"], "left")
          .select("lang", "source", F.coalesce("v", F.lit(0)).cast("long").alias("v"), F.coalesce("n", F.lit(0)).cast("long").alias("n")))
-    g = g.withColumn("p0", F.when(F.col("v") > 0, _weight("0", "n", "v")))
-    lang_counts = counts.groupBy("lang", "term").agg(F.sum("count").alias("lc"))
-    lang_n = g.groupBy("lang").agg(F.sum("n").alias("ln"), F.first("v").alias("v"))
-    cw = (counts.join(g.select("lang", "source", "n", "v"), ["lang", "source"]).join(lang_counts, ["lang", "term"])
-          .join(lang_n.select("lang", "ln"), "lang")
-          .select("lang", "source", "term", _weight("`count`", "n", "v").alias("p"), _weight("lc", "ln", "v").alias("q")))
-    cw = settle(cw, "divergence-weights")
-
-    # Part term: the largest f with p > q, ten per group; first the best ten of each salt, then of the group.
-    salt = F.pmod(F.xxhash64("item"), F.lit(64))
-    term_rows = cw.where(F.col("p") > F.col("q")).select("lang", "source", F.col("term").alias("item"), _f("p", "q").alias("value"))
+    g = settle(g, "divergence-groups")
+    size = g.groupBy("lang").agg(F.count("*").alias("s"), F.first("v").alias("v"))
+    size = size.select("lang", "v", F.greatest(F.lit(1), F.ceil(F.col("s") * F.col("v") / F.lit(block_cells))).cast("long").alias("b"))
+    bucket = F.pmod(F.xxhash64("term"), F.col("b"))
+    cells = counts.join(size, "lang").select("lang", "v", bucket.alias("bucket"), "source", "term", "count", F.lit(None).cast("long").alias("n"))
+    marks = (g.join(size, ["lang", "v"]).where(F.col("v") > 0)
+             .select("lang", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("b") - 1)).alias("bucket"), "source",
+                     F.lit(None).cast("string").alias("term"), F.lit(None).cast("long").alias("count"), "n"))
+    parts = cells.unionByName(marks).groupBy("lang", "bucket").applyInPandas(
+        _block(top), "lang string, source string, part string, item string, value long, seen long")
+    parts = settle(parts, "divergence-parts")
+
     order = [F.col("value").desc(), F.col("item").cast("binary").asc()]
-    first = term_rows.withColumn("_r", F.row_number().over(Window.partitionBy("lang", "source", salt).orderBy(*order))).where(F.col("_r") <= top)
-    terms = (first.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(*order)))
-             .where(F.col("rank") <= top).select("lang", "source", F.lit("term").alias("part"), "item", "value", "rank"))
-
-    # Part pair: f over the terms either side has, plus the terms neither has times f(p0, p0).
-    a = g.select("lang", F.col("source").alias("a"), F.col("p0").alias("p0a"))
-    b = g.select("lang", F.col("source").alias("b"), F.col("p0").alias("p0b"))
-    pairs = a.join(b, "lang").where(F.col("a") != F.col("b"))
-    side_a = pairs.join(cw.select("lang", F.col("source").alias("a"), "term", F.col("p").alias("pa")), ["lang", "a"])
-    side_b = pairs.join(cw.select("lang", F.col("source").alias("b"), "term", F.col("p").alias("pb")), ["lang", "b"])
-    met = (side_a.join(side_b, ["lang", "a", "b", "term", "p0a", "p0b"], "full_outer")
-           .select("lang", "a", "b", _f("coalesce(pa, p0a)", "coalesce(pb, p0b)").alias("f"))
-           .groupBy("lang", "a", "b").agg(F.sum("f").alias("seen"), F.count("*").alias("k")))
-    pair_rows = (pairs.join(met, ["lang", "a", "b"], "left").join(v, "lang", "left")
-                 .select("lang", F.col("a").alias("source"), F.lit("pair").alias("part"), F.col("b").alias("item"),
-                         F.when(F.coalesce("v", F.lit(0)) == 0, F.lit(0)).otherwise(
-                             F.coalesce("seen", F.lit(0)) + (F.col("v") - F.coalesce("k", F.lit(0))) * _f("p0a", "p0b"))
-                         .cast("long").alias("value")))
-    pair_rows = pair_rows.withColumn("rank", F.row_number().over(
-        Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), F.col("item").cast("binary").asc())))
+    terms = (parts.where(F.col("part") == "term")
+             .withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(*order)))
+             .where(F.col("rank") <= top).select("lang", "source", "part", "item", "value", "rank"))
+    p0 = F.when(F.col("v") > 0, F.lit(1) + F.expr(f"({SCALE}BD * 2) div (n + 2 * v)"))
+    a = g.select("lang", "source", "v", p0.alias("p0a"))
+    b = g.select("lang", F.col("source").alias("item"), p0.alias("p0b"))
+    pairs = a.join(b, "lang").where(F.col("source") != F.col("item"))
+    seen = (parts.where(F.col("part") == "pair").groupBy("lang", "source", "item")
+            .agg(F.sum("value").alias("sum"), F.sum("seen").alias("seen")))
+    zero = F.expr("((p0a - p0b) * (p0a - p0b)) div (p0a + p0b)")
+    value = F.when(F.col("v") == 0, F.lit(0)).otherwise(F.coalesce("sum", F.lit(0)) + (F.col("v") - F.coalesce("seen", F.lit(0))) * zero)
+    pair_rows = (pairs.join(seen, ["lang", "source", "item"], "left")
+                 .select("lang", "source", F.lit("pair").alias("part"), "item", value.cast("long").alias("value")))
+    pair_rows = pair_rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(*order)))
     return pair_rows.unionByName(terms).select("lang", "source", "part", "item", F.col("value").cast("long"), F.col("rank").cast("int"))
 
 

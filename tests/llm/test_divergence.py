@@ -49,7 +49,7 @@ def test_small_shards_rounds_and_odd_rows(spark, tmp_path):
     path = str(tmp_path / "docs.parquet")
     df.write.parquet(path)
     want = _sql_rows({"documents": path})
-    small = divergence.audit(spark.read.parquet(path), shard_keys=3, round_bytes=300, cells=16)
+    small = divergence.audit(spark.read.parquet(path), shard_keys=3, round_bytes=300, cells=16, block_cells=8)
     got = sorted(tuple(x) for x in small.collect())
     assert got == want
     assert ("de", "a", "pair", "b", 0, 1) in got
