@@ -32,7 +32,9 @@ from __future__ import annotations
 import math
 import re
 import pickle
+from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -58,7 +60,7 @@ _LOWER = str.maketrans(UPPER, LOWER)
 #: Keys in one shard of the perfect hash; bytes of shards broadcast at a time; dense cells a task holds.
 SHARD_KEYS = 1 << 20
 ROUND_BYTES = 256 << 20
-CELLS = 1 << 23
+CELLS = 1 << 25
 #: Places per key at each level of the perfect hash.
 GAMMA = 2.0
 
@@ -158,11 +160,34 @@ def normal(docs: DataFrame) -> DataFrame:
                        F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER).alias("text"))
 
 
-def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(lang, term) of the terms in at least ``min_docs`` documents of the language; exact counts."""
-    terms = F.array_distinct(F.regexp_extract_all("text", F.lit(TERM), 0))
-    return (docs.select("lang", F.explode(terms).alias("term")).groupBy("lang", "term").count()
-            .where(F.col("count") >= min_docs).select("lang", "term"))
+def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS, cells: int = None) -> DataFrame:
+    """(lang, term) of the terms in at least ``min_docs`` documents of the language; exact counts.
+
+    Each task counts the documents of every (lang, term) it sees and hands on the partial
+    counts (when it ends, or when it holds ``cells`` of them); Spark adds them up.
+    """
+    cells = cells or CELLS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+
+        def out():
+            keys = list(held)
+            batch = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()),
+                                                pa.array(list(held.values()), pa.int64())], names=["lang", "term", "docs"])
+            held.clear()
+            return batch
+
+        for b in batches:
+            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
+                held.update(zip(repeat(lang), set(_TERM.findall(text))))
+            if len(held) > cells:
+                yield out()
+        if held:
+            yield out()
+
+    partial = docs.select("lang", "text").mapInArrow(count, "lang string, term string, docs long")
+    return partial.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).select("lang", "term")
 
 
 def _key(lang: str, term: str) -> str:
@@ -216,19 +241,26 @@ def recount(docs: DataFrame, hashed: DataFrame, shards: int, round_bytes: int =
     return out.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"))
 
 
+def _one(lookups: dict, shards: int, lang: str, term: str) -> int:
+    """Slot of one key (after the cache was emptied in the middle of a batch)."""
+    key = _key(lang, term)
+    lk = lookups.get(int(key_hash([key])[0] % np.uint64(shards)))
+    return int(lk.slots([key])[0]) if lk is not None else -1
+
+
 def _counter(shared, shards: int, cells: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        offsets, lookups, total = {}, {}, 0
+        lookups, total = {}, 0
         for shard, blob in sorted(shared.value.items()):
             built = pickle.loads(blob)
             lookups[shard] = Lookup(built, total)
-            offsets[shard] = total
             total += len(built["keys"])
         names = [None] * total
         for lk in lookups.values():
             names[lk.offset:lk.offset + len(lk.keys)] = lk.keys
         dense: dict[tuple[str, str], np.ndarray] = {}
-        cache: dict[str, dict[str, int]] = {}
+        known: dict[str, dict[str, int]] = {}
+        seen = added = 0
 
         def flush():
             langs, sources, terms, counts = [], [], [], []
@@ -237,46 +269,69 @@ def _counter(shared, shards: int, cells: int):
                 langs += [lang] * len(nz)
                 sources += [source] * len(nz)
                 terms += [names[s].rsplit("\x00", 1)[1] for s in nz]
-                counts.append(arr[nz])
+                counts.append(arr[nz].astype(np.int64))
             dense.clear()
             c = np.concatenate(counts) if counts else np.zeros(0, np.int64)
             return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(sources, pa.string()),
                                                pa.array(terms, pa.string()), pa.array(c, pa.int64())],
                                               names=["lang", "source", "term", "count"])
 
-        seen = 0
+        if total == 0:
+            return
         for b in batches:
-            found: dict[tuple[str, str], list[np.ndarray]] = {}
-            for lang, source, text in zip(b.column("lang").to_pylist(), b.column("source").to_pylist(), b.column("text").to_pylist()):
-                terms = _TERM.findall(text)
-                if not terms or total == 0:
+            langs, sources = b.column("lang").to_pylist(), b.column("source").to_pylist()
+            found = [_TERM.findall(text) for text in b.column("text").to_pylist()]
+            # ids of every document's terms; terms this task has not looked up yet go to the
+            # perfect hash once for the whole batch
+            parts: list[np.ndarray | None] = [None] * len(found)
+            new: dict[str, set[str]] = {}
+            for i, (lang, terms) in enumerate(zip(langs, found)):
+                mine = known.setdefault(lang, {})
+                try:
+                    parts[i] = np.fromiter(map(mine.__getitem__, terms), np.int64, len(terms))
+                except KeyError:
+                    new.setdefault(lang, set()).update(set(terms).difference(mine))
+            if new:
+                pairs = [(lang, t) for lang, ts in new.items() for t in ts]
+                keys = [_key(lang, t) for lang, t in pairs]
+                hs = key_hash(keys) % np.uint64(shards)
+                slot = np.full(len(keys), -1, np.int64)
+                for shard, lk in lookups.items():
+                    mine = np.flatnonzero(hs == np.uint64(shard))
+                    if len(mine):
+                        slot[mine] = lk.slots([keys[i] for i in mine])
+                if seen > cells:
+                    known = {lang: {} for lang in known}
+                    seen = 0
+                for (lang, t), s in zip(pairs, slot.tolist()):
+                    known.setdefault(lang, {})[t] = s
+                seen += len(pairs)
+                for i, (lang, terms) in enumerate(zip(langs, found)):
+                    if parts[i] is None:
+                        mine = known[lang]
+                        try:
+                            parts[i] = np.fromiter(map(mine.__getitem__, terms), np.int64, len(terms))
+                        except KeyError:
+                            parts[i] = np.array([mine[t] if t in mine else _one(lookups, shards, lang, t) for t in terms], np.int64)
+            # one count of (group, slot) for the whole batch, then into the groups' dense slots
+            groups: dict[tuple[str, str], int] = {}
+            gid = np.fromiter((groups.setdefault((lang, source), len(groups)) for lang, source in zip(langs, sources)), np.int64, len(langs))
+            lengths = np.fromiter(map(len, found), np.int64, len(found))
+            ids = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+            owner = np.repeat(gid, lengths)
+            hit = ids >= 0
+            joint, counts = np.unique(owner[hit] * total + ids[hit], return_counts=True)
+            added += int(counts.sum())
+            for group, g in groups.items():
+                lo, hi = np.searchsorted(joint, [g * total, (g + 1) * total])
+                if lo == hi:
                     continue
-                known = cache.setdefault(lang, {})
-                new = [t for t in set(terms) if t not in known]
-                if new:
-                    keys = [_key(lang, t) for t in new]
-                    hs = key_hash(keys) % np.uint64(shards)
-                    slot = np.full(len(keys), -1, np.int64)
-                    for shard, lk in lookups.items():
-                        mine = np.flatnonzero(hs == np.uint64(shard))
-                        if len(mine):
-                            slot[mine] = lk.slots([keys[i] for i in mine])
-                    if seen > 4 * cells:
-                        cache.clear()
-                        known, seen = cache.setdefault(lang, {}), 0
-                    known.update(zip(new, slot.tolist()))
-                    seen += len(new)
-                ids = np.fromiter(map(known.__getitem__, terms), np.int64, len(terms))
-                ids = ids[ids >= 0]
-                if len(ids):
-                    found.setdefault((lang, source), []).append(ids)
-            for group, parts in found.items():
                 if group not in dense:
-                    if dense and (len(dense) + 1) * total > cells:
+                    if dense and ((len(dense) + 1) * total > cells or added >= 2**31 - 1):
                         yield flush()
-                    dense[group] = np.zeros(total, np.int64)
-                u, c = np.unique(np.concatenate(parts), return_counts=True)
-                dense[group][u] += c
+                        added = 0
+                    dense[group] = np.zeros(total, np.int32)
+                dense[group][joint[lo:hi] - g * total] += counts[lo:hi].astype(np.int32)
         if dense:
             yield flush()
 
@@ -287,7 +342,7 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, shard_keys:
           round_bytes: int = ROUND_BYTES, cells: int = CELLS, block_cells: int | None = None) -> DataFrame:
     """Rows (lang, source, part, item, value, rank) of parts ``pair`` and ``term``."""
     docs = normal(docs)
-    kept = settle(kept_terms(docs, min_docs), "divergence-kept")
+    kept = settle(kept_terms(docs, min_docs, cells), "divergence-kept")
     hashed, shards = hashes(kept, shard_keys)
     counts = settle(recount(docs.select("lang", "source", "text"), hashed, shards, round_bytes, cells), "divergence-counts")
     return scores(docs.select("lang", "source").distinct(), kept, counts, top, block_cells or BLOCK_CELLS)
