@@ -14,7 +14,8 @@ Two passes over the documents.
    as (group, term, count) when a task ends or holds more than ``cells`` slots, and Spark
    adds them up.
 
-The scores are exact integer arithmetic in Spark expressions: per group and per language,
+Terms are split from UTF-8 bytes by one byte table (see ``terms_of``), which gives the matches of
+TERM. The scores are exact integer arithmetic: per group and per language,
 a term's weight is ``p = 1 + floor(10^9 (count + 2) / (N + 2V))``; two weights differ by
 ``f = floor((p - q)^2 / (p + q))``. Part ``pair`` sums f over all kept terms between a group
 and every other source of its language; part ``term`` lists the ten terms of a group that
@@ -30,7 +31,6 @@ rows. Repeated rows count as separate documents. Other columns are ignored.
 from __future__ import annotations
 
 import math
-import re
 import pickle
 from collections import Counter
 from collections.abc import Iterator
@@ -54,8 +54,25 @@ SCALE = 1_000_000_000
 TOP = 10
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_TERM = re.compile(TERM)
-_LOWER = str.maketrans(UPPER, LOWER)
+
+
+def _byte_table() -> bytes:
+    """UTF-8 bytes that end terms become blanks, A-Z lower case. Every byte of a non-ASCII
+    character is 0x80 or more and stays, so the runs left are exactly the matches of TERM."""
+    table = bytearray(range(256))
+    for c in [*range(0x00, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]:
+        table[c] = 0x20
+    for c in range(0x41, 0x5B):
+        table[c] = c + 0x20
+    return bytes(table)
+
+
+_BYTES = _byte_table()
+
+
+def terms_of(raw: bytes) -> list[bytes]:
+    """The terms of a UTF-8 text, lower-cased, as UTF-8 bytes."""
+    return list(filter(None, raw.translate(_BYTES).split(b" ")))
 
 #: Keys in one shard of the perfect hash; bytes of shards broadcast at a time; dense cells a task holds.
 SHARD_KEYS = 1 << 20
@@ -155,9 +172,9 @@ class Lookup:
 # The two passes
 
 def normal(docs: DataFrame) -> DataFrame:
-    """lang, source and text with nulls as '' and A-Z lower-cased in the text."""
+    """lang and source with nulls as '', and the text's UTF-8 bytes (null: none); terms are split from those."""
     return docs.select(F.coalesce(F.col("lang"), F.lit("")).alias("lang"), F.coalesce(F.col("source"), F.lit("")).alias("source"),
-                       F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER).alias("text"))
+                       F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
 
 
 def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS, cells: int = None) -> DataFrame:
@@ -173,14 +190,14 @@ def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS, cells: int = None) ->
 
         def out():
             keys = list(held)
-            batch = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()),
+            batch = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1].decode() for k in keys], pa.string()),
                                                 pa.array(list(held.values()), pa.int64())], names=["lang", "term", "docs"])
             held.clear()
             return batch
 
         for b in batches:
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
-                held.update(zip(repeat(lang), set(_TERM.findall(text))))
+                held.update(zip(repeat(lang), set(terms_of(text))))
             if len(held) > cells:
                 yield out()
         if held:
@@ -280,7 +297,7 @@ def _counter(shared, shards: int, cells: int):
             return
         for b in batches:
             langs, sources = b.column("lang").to_pylist(), b.column("source").to_pylist()
-            found = [_TERM.findall(text) for text in b.column("text").to_pylist()]
+            found = [terms_of(text) for text in b.column("text").to_pylist()]
             # ids of every document's terms; terms this task has not looked up yet go to the
             # perfect hash once for the whole batch
             parts: list[np.ndarray | None] = [None] * len(found)
@@ -293,7 +310,7 @@ def _counter(shared, shards: int, cells: int):
                     new.setdefault(lang, set()).update(set(terms).difference(mine))
             if new:
                 pairs = [(lang, t) for lang, ts in new.items() for t in ts]
-                keys = [_key(lang, t) for lang, t in pairs]
+                keys = [_key(lang, t.decode()) for lang, t in pairs]
                 hs = key_hash(keys) % np.uint64(shards)
                 slot = np.full(len(keys), -1, np.int64)
                 for shard, lk in lookups.items():
@@ -312,7 +329,7 @@ def _counter(shared, shards: int, cells: int):
                         try:
                             parts[i] = np.fromiter(map(mine.__getitem__, terms), np.int64, len(terms))
                         except KeyError:
-                            parts[i] = np.array([mine[t] if t in mine else _one(lookups, shards, lang, t) for t in terms], np.int64)
+                            parts[i] = np.array([mine[t] if t in mine else _one(lookups, shards, lang, t.decode()) for t in terms], np.int64)
             # one count of (group, slot) for the whole batch, then into the groups' dense slots
             groups: dict[tuple[str, str], int] = {}
             gid = np.fromiter((groups.setdefault((lang, source), len(groups)) for lang, source in zip(langs, sources)), np.int64, len(langs))

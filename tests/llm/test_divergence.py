@@ -56,3 +56,15 @@ def test_small_shards_rounds_and_odd_rows(spark, tmp_path):
     assert not any(x[0] == "fr" for x in got)
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     assert divergence.audit(empty).count() == 0
+
+
+def test_byte_table_gives_the_matches_of_the_pattern():
+    import re
+
+    r = random.Random(11)
+    pattern = re.compile(divergence.TERM)
+    alphabet = "aZ09_ \t\n@[`{~\x7f\x00éÉß中  😀-'"
+    for _ in range(300):
+        text = "".join(r.choice(alphabet) for _ in range(r.randint(0, 60)))
+        lowered = text.translate(str.maketrans(divergence.UPPER, divergence.LOWER))
+        assert [t.decode() for t in divergence.terms_of(text.encode())] == pattern.findall(lowered)
