@@ -32,25 +32,6 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _after_scheme(url: Column) -> Column:
-    return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://(.*)$", 1)
-
-
-def host(url: Column) -> Column:
-    """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z in lower case; else empty."""
-    raw = F.regexp_extract(_after_scheme(url), r"^[^/?#]*", 0)
-    return F.translate(raw, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def path(url: Column) -> Column:
-    """After the host up to ``?``, ``#`` or the end."""
-    return F.regexp_extract(_after_scheme(url), r"^[^/?#]*([^?#]*)", 1)
-
-
-def name(self) -> str:
-        return self.host + self.path
-
-
 def _after_scheme(url: Column) -> Column:
     return F.when(F.locate("://", url) > 0, F.substr(url, F.locate("://", url) + 3)).otherwise("")
 
