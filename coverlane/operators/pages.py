@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -165,6 +167,45 @@ def capture(parsed: DataFrame, fields: list[dict]) -> DataFrame:
     return found.select("page_id", F.inline_outer(F.array(*boxes)))
 
 
+def capture_by_settings(parsed: DataFrame, settings: DataFrame, portal: str = "portal") -> DataFrame:
+    """Configured fields of each page's own portal: one row per page and field of that portal.
+
+    ``settings`` is a table of ``portal, field_name, field_type, selector, ord, required``
+    rows, any number of portals. Every distinct (selector, field type) is compiled once; a
+    page evaluates only those its portal names (the others are branches it does not take).
+    A selector that can't be compiled fails alone: its fields are not found, the other
+    fields of the page are read. Pages of a portal without settings give no rows; a null
+    portal has no settings.
+    """
+    pairs = settings.select("selector", F.lower("field_type").alias("field_type")).distinct().orderBy("selector", "field_type").collect()
+    index = {(r.selector, r.field_type): i for i, r in enumerate(pairs)}  # the configuration's own size
+    if not index:
+        return parsed.sparkSession.createDataFrame(
+            [], "page_id long, portal string, field_name string, ord int, required boolean, found boolean, value string")
+    kinds = parsed.sparkSession.createDataFrame([(sel, ft, i) for (sel, ft), i in index.items()], "_sel string, _ft string, _kind int")
+    cfg = settings.withColumn("_type", F.lower("field_type"))
+    numbered = cfg.join(kinds, cfg["selector"].eqNullSafe(kinds["_sel"]) & cfg["_type"].eqNullSafe(kinds["_ft"])).drop("_sel", "_ft", "_type")
+    wanted = numbered.groupBy("portal").agg(F.collect_set("_kind").alias("_wanted"))
+    els = F.col("els")
+    boxes = []
+    for (sel, ft), i in sorted(index.items(), key=lambda x: x[1]):
+        try:
+            if sel is None:
+                raise ValueError("no selector")
+            item = html.select_one(els, sel)
+            box = F.struct(item.isNotNull().alias("found"), html.form_value(els, item, ft or "").alias("value"))
+        except (ValueError, KeyError, IndexError, re.error):
+            box = F.struct(F.lit(False).alias("found"), F.lit(None).cast("string").alias("value"))
+        boxes.append(F.when(F.array_contains(F.col("_wanted"), F.lit(i)), box))
+    pages = parsed.withColumnRenamed(portal, "portal").join(wanted, "portal")
+    read = pages.select("page_id", "portal", F.array(*boxes).alias("_boxes"))
+    fields = numbered.select("portal", "field_name", F.col("ord").cast("int").alias("ord"), F.col("required").cast("boolean").alias("required"), "_kind")
+    rows = read.join(fields, "portal")
+    box = F.get(F.col("_boxes"), F.col("_kind"))
+    return rows.select("page_id", "portal", "field_name", "ord", "required", F.coalesce(box["found"], F.lit(False)).alias("found"),
+                       box["value"].alias("value"))
+
+
 def capture_gate(captured: DataFrame) -> DataFrame:
     """Per page: counts, and the first required field that is missing (where it stops)."""
     failing = F.col("required") & ~F.col("found")

@@ -172,6 +172,27 @@ def capture_values(spark, sf_dir):
     return found.select("page_id", "field_name", "value")
 
 
+#: Capture settings of two portals with different fields; the second has a selector that can't be read.
+PORTAL_FIELDS = [("secure", f["field_name"], f["field_type"], f["selector"], f["ord"], f["required"]) for f in FIELDS] + [
+    ("plain", "head", "text", "h1", 1, True), ("plain", "bold", "text", "b", 2, True), ("plain", "broken", "text", "h1:first-child", 3, False)]
+
+
+@query("capture_portals", f"""
+WITH p AS (SELECT page_id, html, CASE WHEN url LIKE 'https:%' THEN 'secure' ELSE 'plain' END AS portal FROM pages)
+SELECT page_id, portal, 'head' AS field_name, true AS found, {H1_SQL} AS value FROM p
+UNION ALL SELECT page_id, portal, 'bold', html LIKE '%<b>%', CASE WHEN html LIKE '%<b>%' THEN {BOLD_SQL} END FROM p
+UNION ALL SELECT page_id, portal, 'note', true, {AD_SQL} FROM p WHERE portal = 'secure'
+UNION ALL SELECT page_id, portal, 'query', false, NULL FROM p WHERE portal = 'secure'
+UNION ALL SELECT page_id, portal, 'break', html LIKE '%<br>%', CASE WHEN html LIKE '%<br>%' THEN '' END FROM p WHERE portal = 'secure'
+UNION ALL SELECT page_id, portal, 'broken', false, NULL FROM p WHERE portal = 'plain'""")
+def capture_portals(spark, sf_dir):
+    """Fields by a settings table of two portals, pages dealt to portals by their scheme, all in one plan."""
+    settings = spark.createDataFrame(PORTAL_FIELDS, "portal string, field_name string, field_type string, selector string, ord int, required boolean")
+    parsed = pages.with_elements(spread_table(spark, sf_dir, "pages"))
+    parsed = parsed.withColumn("portal", F.when(F.col("url").startswith("https:"), "secure").otherwise("plain"))
+    return pages.capture_by_settings(parsed, settings).select("page_id", "portal", "field_name", "found", "value")
+
+
 # A result page per customer, written out in SQL that both engines read.
 RESULT_PAGE = """concat('<html><body><table class="Menu"><tr><td>x</td></tr></table><table class="Grid wide">',
  '<tr><th>Póliza</th><th>No. Dependiente</th><th>Nombre del Paciente</th><th> </th><th>Status</th><th class="hide">Ref</th></tr>',
