@@ -77,7 +77,9 @@ def terms_of(raw: bytes) -> list[bytes]:
 #: Keys in one shard of the perfect hash; bytes of shards broadcast at a time; dense cells a task holds.
 SHARD_KEYS = 1 << 20
 ROUND_BYTES = 256 << 20
-CELLS = 1 << 25
+CELLS = 1 << 24
+#: Entries of the per-task tables of counted or looked-up terms before they are handed on or emptied.
+CACHE = 1 << 20
 #: Places per key at each level of the perfect hash.
 GAMMA = 2.0
 
@@ -198,7 +200,7 @@ def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS, cells: int = None) ->
         for b in batches:
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
                 held.update(zip(repeat(lang), set(terms_of(text))))
-            if len(held) > cells:
+            if len(held) > CACHE:
                 yield out()
         if held:
             yield out()
@@ -275,9 +277,19 @@ def _counter(shared, shards: int, cells: int):
         names = [None] * total
         for lk in lookups.values():
             names[lk.offset:lk.offset + len(lk.keys)] = lk.keys
+        # slots of each language numbered from 0, so that a group's dense array holds its language only
+        split = [k.rsplit("\x00", 1) for k in names]
+        local = np.zeros(total, np.int64)
+        words: dict[str, list[str]] = {}
+        for s, (lang, term) in enumerate(split):
+            mine = words.setdefault(lang, [])
+            local[s] = len(mine)
+            mine.append(term)
+        del split
+        stride = max((len(w) for w in words.values()), default=1)
         dense: dict[tuple[str, str], np.ndarray] = {}
         known: dict[str, dict[str, int]] = {}
-        seen = added = 0
+        seen = added = held = 0
 
         def flush():
             langs, sources, terms, counts = [], [], [], []
@@ -285,7 +297,8 @@ def _counter(shared, shards: int, cells: int):
                 nz = np.flatnonzero(arr)
                 langs += [lang] * len(nz)
                 sources += [source] * len(nz)
-                terms += [names[s].rsplit("\x00", 1)[1] for s in nz]
+                own = words[lang]
+                terms += [own[s] for s in nz]
                 counts.append(arr[nz].astype(np.int64))
             dense.clear()
             c = np.concatenate(counts) if counts else np.zeros(0, np.int64)
@@ -317,7 +330,7 @@ def _counter(shared, shards: int, cells: int):
                     mine = np.flatnonzero(hs == np.uint64(shard))
                     if len(mine):
                         slot[mine] = lk.slots([keys[i] for i in mine])
-                if seen > cells:
+                if seen > CACHE:
                     known = {lang: {} for lang in known}
                     seen = 0
                 for (lang, t), s in zip(pairs, slot.tolist()):
@@ -337,18 +350,20 @@ def _counter(shared, shards: int, cells: int):
             ids = np.concatenate(parts) if parts else np.zeros(0, np.int64)
             owner = np.repeat(gid, lengths)
             hit = ids >= 0
-            joint, counts = np.unique(owner[hit] * total + ids[hit], return_counts=True)
+            joint, counts = np.unique(owner[hit] * stride + local[ids[hit]], return_counts=True)
             added += int(counts.sum())
             for group, g in groups.items():
-                lo, hi = np.searchsorted(joint, [g * total, (g + 1) * total])
+                lo, hi = np.searchsorted(joint, [g * stride, (g + 1) * stride])
                 if lo == hi:
                     continue
                 if group not in dense:
-                    if dense and ((len(dense) + 1) * total > cells or added >= 2**31 - 1):
+                    size = len(words[group[0]])
+                    if dense and (held + size > cells or added >= 2**31 - 1):
                         yield flush()
-                        added = 0
-                    dense[group] = np.zeros(total, np.int32)
-                dense[group][joint[lo:hi] - g * total] += counts[lo:hi].astype(np.int32)
+                        added = held = 0
+                    dense[group] = np.zeros(size, np.int32)
+                    held += size
+                dense[group][joint[lo:hi] - g * stride] += counts[lo:hi].astype(np.int32)
         if dense:
             yield flush()
 
