@@ -34,7 +34,7 @@ import math
 import pickle
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -198,8 +198,15 @@ def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS, cells: int = None) ->
             return batch
 
         for b in batches:
-            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
-                held.update(zip(repeat(lang), set(terms_of(text))))
+            found = [terms_of(text) for text in b.column("text").to_pylist()]
+            for lang, docs in _by_lang(b.column("lang").to_pylist()).items():
+                codes, uniques, lengths = _factorized(found, docs)
+                if not len(uniques):
+                    continue
+                doc_of = np.repeat(np.arange(len(docs), dtype=np.int64), lengths)
+                distinct = np.unique(doc_of * len(uniques) + codes) % len(uniques)
+                df = np.bincount(distinct, minlength=len(uniques))
+                held.update(dict(zip(zip(repeat(lang), uniques), df.tolist())))
             if len(held) > CACHE:
                 yield out()
         if held:
@@ -260,13 +267,6 @@ def recount(docs: DataFrame, hashed: DataFrame, shards: int, round_bytes: int =
     return out.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"))
 
 
-def _one(lookups: dict, shards: int, lang: str, term: str) -> int:
-    """Slot of one key (after the cache was emptied in the middle of a batch)."""
-    key = _key(lang, term)
-    lk = lookups.get(int(key_hash([key])[0] % np.uint64(shards)))
-    return int(lk.slots([key])[0]) if lk is not None else -1
-
-
 def _counter(shared, shards: int, cells: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookups, total = {}, 0
@@ -311,44 +311,36 @@ def _counter(shared, shards: int, cells: int):
         for b in batches:
             langs, sources = b.column("lang").to_pylist(), b.column("source").to_pylist()
             found = [terms_of(text) for text in b.column("text").to_pylist()]
-            # ids of every document's terms; terms this task has not looked up yet go to the
-            # perfect hash once for the whole batch
-            parts: list[np.ndarray | None] = [None] * len(found)
-            new: dict[str, set[str]] = {}
-            for i, (lang, terms) in enumerate(zip(langs, found)):
-                mine = known.setdefault(lang, {})
-                try:
-                    parts[i] = np.fromiter(map(mine.__getitem__, terms), np.int64, len(terms))
-                except KeyError:
-                    new.setdefault(lang, set()).update(set(terms).difference(mine))
-            if new:
-                pairs = [(lang, t) for lang, ts in new.items() for t in ts]
-                keys = [_key(lang, t.decode()) for lang, t in pairs]
-                hs = key_hash(keys) % np.uint64(shards)
-                slot = np.full(len(keys), -1, np.int64)
-                for shard, lk in lookups.items():
-                    mine = np.flatnonzero(hs == np.uint64(shard))
-                    if len(mine):
-                        slot[mine] = lk.slots([keys[i] for i in mine])
-                if seen > CACHE:
-                    known = {lang: {} for lang in known}
-                    seen = 0
-                for (lang, t), s in zip(pairs, slot.tolist()):
-                    known.setdefault(lang, {})[t] = s
-                seen += len(pairs)
-                for i, (lang, terms) in enumerate(zip(langs, found)):
-                    if parts[i] is None:
-                        mine = known[lang]
-                        try:
-                            parts[i] = np.fromiter(map(mine.__getitem__, terms), np.int64, len(terms))
-                        except KeyError:
-                            parts[i] = np.array([mine[t] if t in mine else _one(lookups, shards, lang, t.decode()) for t in terms], np.int64)
-            # one count of (group, slot) for the whole batch, then into the groups' dense slots
+            # per language of the batch: its terms factorized, only distinct ones looked up, new ones
+            # in the perfect hash once
             groups: dict[tuple[str, str], int] = {}
             gid = np.fromiter((groups.setdefault((lang, source), len(groups)) for lang, source in zip(langs, sources)), np.int64, len(langs))
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
-            ids = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-            owner = np.repeat(gid, lengths)
+            all_ids, all_owner = [], []
+            for lang, docs in _by_lang(langs).items():
+                codes, uniques, lengths = _factorized(found, docs)
+                if not len(uniques):
+                    continue
+                if seen > CACHE:
+                    for table_ in known.values():
+                        table_.clear()
+                    seen = 0
+                mine = known.setdefault(lang, {})
+                fresh = [u for u in uniques if u not in mine]
+                if fresh:
+                    keys = [_key(lang, t.decode()) for t in fresh]
+                    hs = key_hash(keys) % np.uint64(shards)
+                    slot = np.full(len(keys), -1, np.int64)
+                    for shard, lk in lookups.items():
+                        picked = np.flatnonzero(hs == np.uint64(shard))
+                        if len(picked):
+                            slot[picked] = lk.slots([keys[i] for i in picked])
+                    mine.update(zip(fresh, slot.tolist()))
+                    seen += len(fresh)
+                slots = np.fromiter(map(mine.__getitem__, uniques), np.int64, len(uniques))
+                all_ids.append(slots[codes])
+                all_owner.append(np.repeat(gid[docs], lengths))
+            ids = np.concatenate(all_ids) if all_ids else np.zeros(0, np.int64)
+            owner = np.concatenate(all_owner) if all_owner else np.zeros(0, np.int64)
             hit = ids >= 0
             joint, counts = np.unique(owner[hit] * stride + local[ids[hit]], return_counts=True)
             added += int(counts.sum())
