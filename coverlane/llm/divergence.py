@@ -267,6 +267,22 @@ def recount(docs: DataFrame, hashed: DataFrame, shards: int, round_bytes: int =
     return out.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"))
 
 
+def _by_lang(langs: list[str]) -> dict[str, np.ndarray]:
+    """Row numbers of each language in a batch."""
+    rows: dict[str, list[int]] = {}
+    for i, lang in enumerate(langs):
+        rows.setdefault(lang, []).append(i)
+    return {lang: np.asarray(r, np.int64) for lang, r in rows.items()}
+
+
+def _factorized(found: list[list[bytes]], docs: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Codes of all terms of the given documents, in order, their distinct terms and each document's count."""
+    lengths = np.fromiter((len(found[i]) for i in docs), np.int64, len(docs))
+    flat = np.fromiter(chain.from_iterable(found[i] for i in docs), object, int(lengths.sum()))
+    codes, uniques = pd.factorize(flat)
+    return codes.astype(np.int64), list(uniques), lengths
+
+
 def _counter(shared, shards: int, cells: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookups, total = {}, 0
