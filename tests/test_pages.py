@@ -108,3 +108,19 @@ def test_omitted_end_tags_children_and_entities(spark):
     assert df.select(html.title(F.col("html"))).first()[0] == "Póliza óóñ &lt; &bogus; &"
     texts = lambda s: [r[0] for r in parsed.select(F.explode(html.select(F.col("els"), s)).alias("e"), "els").select(html.text_of(F.col("els"), F.col("e"))).collect()]
     assert texts("li") == ["x", "y"] and texts("div > b") == ["in"] and texts('div[title="a > b"] b') == ["in", "deep"] and texts("div>p") == ["one", "twodeep"]
+
+
+def test_capture_by_settings_of_several_portals(spark):
+    rows = [(1, "a", '<html><h1>Title</h1><input id="q" value=" v "><b>x</b></html>'), (2, "b", "<html><h1>Other</h1></html>"),
+            (3, None, "<html><h1>N</h1></html>"), (4, "c", "<html><h1>C</h1></html>"), (5, "b", "<html><p>no head</p></html>")]
+    parsed = pages.with_elements(spark.createDataFrame(rows, "page_id long, portal string, html string"))
+    settings = spark.createDataFrame([
+        ("a", "head", "text", "h1", 1, True), ("a", "query", "input", "input#q", 2, False), ("a", "bold", "text", "b", 3, True),
+        ("b", "head", "text", "h1", 1, True), ("b", "odd", "text", "h1:first-child >", 2, False), ("b", "none", "text", None, 3, False)],
+        "portal string, field_name string, field_type string, selector string, ord int, required boolean")
+    got = sorted(tuple(r) for r in pages.capture_by_settings(parsed, settings).select("page_id", "field_name", "found", "value").collect())
+    assert got == [(1, "bold", True, "x"), (1, "head", True, "Title"), (1, "query", True, "v"),
+                   (2, "head", True, "Other"), (2, "none", False, None), (2, "odd", False, None),
+                   (5, "head", False, None), (5, "none", False, None), (5, "odd", False, None)]
+    empty = spark.createDataFrame([], settings.schema)
+    assert pages.capture_by_settings(parsed, empty).count() == 0
