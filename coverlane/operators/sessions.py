@@ -286,7 +286,7 @@ def phases(df: DataFrame, key: str, ttl: float, keep: tuple[str, ...] = (), hot_
     tables = first.where(F.col("_summary") & F.col("_hot")).select(key, "_order", *[n for n, _ in _SUMMARY])
     entry_schema = T.StructType([sliced.schema[key], T.StructField("_order", T.LongType()),
                                  T.StructField("entry_t", T.LongType()), T.StructField("entry_seq", T.LongType())])
-    entries = settle(tables.groupBy(key).applyInPandas(_compose(ttl_micros, key), entry_schema), "session-entries")
+    entries = tables.groupBy(key).applyInPandas(_compose(ttl_micros, key), entry_schema)
     on = [key, "_order"]
     plain = ordered._join(done, entries.select(*on), on, "left_anti")
     redo = ordered._join(done.drop("phase", "login_t", "login_seq"), entries, on, "inner")
