@@ -82,9 +82,10 @@ def record(spark: SparkSession, path: str, stream: str, batch: int) -> None:
     spark.createDataFrame([(stream, batch)], "stream string, batch long").coalesce(1).write.mode("append").parquet(_ledger(path))
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str, fmt: str = "parquet") -> bool:
+    """Whether a readable table with rows (or a Parquet schema) is at ``path``."""
     try:
-        spark.read.parquet(path).schema
+        spark.read.format(fmt).load(path).schema
         return True
     except AnalysisException:
         return False

@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from coverlane.operators import catalog as lookups
 from coverlane.operators import messages, upsert
+from coverlane.session import settle
 from coverlane.sources import tables
 from coverlane.sources.files import LINE_SCHEMA
 
@@ -30,12 +31,19 @@ def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], che
             .trigger(availableNow=True).start())
 
 
-def write_dispositions(out: str, decide: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """Batch callback: rows with their ``disposition``, one folder per batch and disposition."""
+def _batch_dir(out: str, stream: str, batch_id: int) -> str:
+    return f"{out.rstrip('/')}/stream={stream}/batch={batch_id}"
+
+
+def write_dispositions(out: str, decide: Callable[[DataFrame], DataFrame], stream: str = "stream") -> Callable[[DataFrame, int], None]:
+    """Batch callback: rows with their ``disposition``, one folder per stream, batch and disposition.
+
+    ``stream`` names the checkpoint, as for ``upsert_batches``: a new checkpoint under a new
+    name never writes over the folders of another.
+    """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        decided = decide(batch)
-        decided.write.mode("overwrite").partitionBy("disposition").json(f"{out}/batch={batch_id}")
+        decide(batch).write.mode("overwrite").partitionBy("disposition").json(_batch_dir(out, stream, batch_id))
 
     return each
 
@@ -61,23 +69,33 @@ def scrape_policy(max_attempts: int) -> Callable[[DataFrame], DataFrame]:
     return decide
 
 
-def retry_sink(decided: DataFrame, inbox: str, batch_id: int) -> None:
+def retry_sink(decided: DataFrame, inbox: str, batch_id: int, stream: str = "stream") -> None:
     """Put retried tasks back into the input folder, ready for a later trigger.
 
-    Named by batch and overwritten, so a repeated batch puts them back once.
+    Named by stream and batch and overwritten, so a repeated batch puts them back once, and
+    a stream under another name (a new checkpoint) never writes over waiting tasks it reads.
     """
     again = decided.filter(F.col("disposition") == messages.RETRY).select("delivery_tag", "attempt", "body")
-    again.write.mode("overwrite").json(f"{inbox.rstrip('/')}/retry-{batch_id}")
+    again.write.mode("overwrite").json(f"{inbox.rstrip('/')}/retry-{stream}-{batch_id}")
 
 
-def scrape_worker(inbox: str, out: str, max_attempts: int) -> Callable[[DataFrame, int], None]:
-    """Batch callback: dispositions to ``out``, retried tasks back to ``inbox``."""
+def scrape_worker(inbox: str, out: str, max_attempts: int, stream: str = "stream") -> Callable[[DataFrame, int], None]:
+    """Batch callback: dispositions to ``out``, retried tasks back to ``inbox``.
+
+    The batch is decided once (written to the shared folder) and both outputs are written
+    from that. Retries are written first, dispositions last: a batch whose dispositions are
+    complete was handled and is skipped when the checkpoint repeats it.
+    """
     decide = scrape_policy(max_attempts)
-    write = write_dispositions(out, decide)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        write(batch, batch_id)
-        retry_sink(decide(batch), inbox, batch_id)
+        spark = batch.sparkSession
+        done = _batch_dir(out, stream, batch_id)
+        if tables.exists(spark, done, "json"):
+            return
+        decided = settle(decide(batch), "scrape-decided")
+        retry_sink(decided, inbox, batch_id, stream)
+        decided.write.mode("overwrite").partitionBy("disposition").json(done)
 
     return each
 

@@ -205,3 +205,23 @@ def test_no_shared_folder_is_an_error():
     assert shared_dir(session) == "/a"
     settings["spark.checkpoint.dir"] = "/b"
     assert shared_dir(session) == "/b"
+
+
+def test_retries_survive_a_new_checkpoint_and_a_repeated_batch(spark):
+    base = fresh_dir(spark, "test-retries")
+    urls = spark.createDataFrame([(i, "" if i % 3 == 0 else f"https://e/{i}") for i in range(30)], "event_id long, url string")
+    made = messages.make_tasks(urls, created=F.lit(0.0))
+    made.select(F.col("event_id").alias("delivery_tag"), F.lit(0).alias("attempt"), "body").coalesce(1).write.json(f"{base}/in/first")
+    first = queue.scrape_worker(f"{base}/in", f"{base}/out", max_attempts=3, stream="one")
+    queue.run_available(queue.message_stream(spark, f"{base}/in"), first, f"{base}/state-one").awaitTermination()
+    waiting = spark.read.json(f"{base}/in/retry-one-0").select("delivery_tag", "attempt").collect()
+    assert sorted(r.delivery_tag for r in waiting) == list(range(0, 30, 3)) and {r.attempt for r in waiting} == {1}
+    # the checkpoint repeats batch 0: skipped, nothing written twice
+    first(spark.read.schema("delivery_tag long, attempt int, body string").json(f"{base}/in/first"), 0)
+    assert spark.read.json(f"{base}/out/stream=one").count() == 30
+    # a new checkpoint under another name reads the waiting tasks and leaves them where they are
+    second = queue.scrape_worker(f"{base}/in", f"{base}/out", max_attempts=3, stream="two")
+    queue.run_available(queue.message_stream(spark, f"{base}/in"), second, f"{base}/state-two").awaitTermination()
+    assert spark.read.json(f"{base}/in/retry-one-0").count() == 10
+    again = spark.read.json(f"{base}/in/retry-two-0").select("delivery_tag", "attempt").collect()
+    assert sorted((r.delivery_tag, r.attempt) for r in again) == sorted([(i, 1) for i in range(0, 30, 3)] + [(i, 2) for i in range(0, 30, 3)])
