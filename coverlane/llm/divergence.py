@@ -390,6 +390,8 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, shard_keys:
 
 #: Cells (sources x terms) of one dense block in the scoring tasks.
 BLOCK_CELLS = 1 << 22
+#: Count rows of one such block.
+BLOCK_ROWS = 50_000
 
 
 def _weights(counts: np.ndarray, n: np.ndarray, v: int) -> np.ndarray:
@@ -438,11 +440,13 @@ def _block(top: int):
     return run
 
 
-def scores(groups: DataFrame, kept: DataFrame, counts: DataFrame, top: int = TOP, block_cells: int = BLOCK_CELLS) -> DataFrame:
+def scores(groups: DataFrame, kept: DataFrame, counts: DataFrame, top: int = TOP, block_cells: int = BLOCK_CELLS,
+           block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The two parts from groups, kept terms and the counts of kept terms per group.
 
     Terms of a language are dealt into buckets so that (sources x terms of a bucket) stays
-    near ``block_cells``; one task scores a bucket densely in NumPy: the pair sums over its
+    near ``block_cells`` and its count rows near ``block_rows`` (a language with most rows
+    spreads over many tasks); one task scores a bucket densely in NumPy: the pair sums over its
     terms (added up over buckets by Spark) and each source's best terms (of which Spark
     keeps the best over buckets). Terms that no group of the language has cannot be kept,
     so every kept term is in some bucket.
@@ -452,8 +456,11 @@ def scores(groups: DataFrame, kept: DataFrame, counts: DataFrame, top: int = TOP
     g = (groups.join(v, "lang", "left").join(n, ["lang", "source"], "left")
          .select("lang", "source", F.coalesce("v", F.lit(0)).cast("long").alias("v"), F.coalesce("n", F.lit(0)).cast("long").alias("n")))
     g = settle(g, "divergence-groups")
-    size = g.groupBy("lang").agg(F.count("*").alias("s"), F.first("v").alias("v"))
-    size = size.select("lang", "v", F.greatest(F.lit(1), F.ceil(F.col("s") * F.col("v") / F.lit(block_cells))).cast("long").alias("b"))
+    rows_of = counts.groupBy("lang").agg(F.count("*").alias("r"))
+    size = g.groupBy("lang").agg(F.count("*").alias("s"), F.first("v").alias("v")).join(rows_of, "lang", "left")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("s") * F.col("v") / F.lit(block_cells)),
+                        F.ceil(F.coalesce("r", F.lit(0)) / F.lit(block_rows)))
+    size = size.select("lang", "v", blocks.cast("long").alias("b"))
     bucket = F.pmod(F.xxhash64("term"), F.col("b"))
     cells = counts.join(size, "lang").select("lang", "v", bucket.alias("bucket"), "source", "term", "count", F.lit(None).cast("long").alias("n"))
     marks = (g.join(size, ["lang", "v"]).where(F.col("v") > 0)
