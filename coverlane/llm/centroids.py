@@ -14,7 +14,8 @@ and the driver takes the exact floor of the means.
 Defined results: vectors that are null, of another length, or hold a null or non-finite
 component take no part and give no row. Fewer kept vectors than ``k``: as many centroids
 as vectors. No vector: no row. Repeated ``vec_id``: each row is a vector; the start order
-of equal hashes then goes by the components. Ties in distance go to the smaller centroid
+of equal hashes then goes by the components; a null ``vec_id`` has no hash and comes after
+all others at the start, but takes part like any vector. Ties in distance go to the smaller centroid
 number. A centroid that loses all vectors stays where it is. Other columns are dropped;
 output names are fixed.
 """
@@ -113,7 +114,7 @@ def _round(kept_df: DataFrame, centroids: np.ndarray, dim: int, scale: int) -> n
 def start(kept_df: DataFrame, k: int, dim: int, scale: int, seed_prefix: str = "1:") -> np.ndarray:
     """The ``k`` kept vectors with the smallest hex SHA-256 of ``<prefix><vec_id>``, in that order."""
     digest = F.sha2(F.concat(F.lit(seed_prefix), F.col("vec_id").cast("string")), 256)
-    first = kept_df.select(digest.alias("h"), "embedding").orderBy("h", "embedding").limit(k).toArrow()
+    first = kept_df.select(digest.alias("h"), "embedding").orderBy(F.col("h").asc_nulls_last(), "embedding").limit(k).toArrow()
     if first.num_rows == 0:
         return np.zeros((0, dim), np.int64)
     return scaled(first, dim, scale)
@@ -167,8 +168,8 @@ def _sql(k: int = 16, rounds: int = 3, dim: int = 64, scale: int = 64) -> str:
         AND list_count(embedding) = {dim} AND isfinite(list_sum(embedding::DOUBLE[]))),
     v AS (SELECT vec_id, d, CAST(floor({scale} * (embedding[d])::DOUBLE) AS BIGINT) AS val
         FROM x, range(1, {dim} + 1) t(d)),
-    c0 AS (SELECT (row_number() OVER (ORDER BY h, embedding) - 1)::INT AS c, vec_id FROM
-        (SELECT sha256('1:' || vec_id::VARCHAR) AS h, embedding, vec_id FROM x ORDER BY h, embedding LIMIT {k})),
+    c0 AS (SELECT (row_number() OVER (ORDER BY h NULLS LAST, embedding) - 1)::INT AS c, vec_id, embedding FROM
+        (SELECT sha256('1:' || vec_id::VARCHAR) AS h, embedding, vec_id FROM x ORDER BY h NULLS LAST, embedding LIMIT {k})),
     m0 AS (SELECT c0.c, v.d, v.val::HUGEINT AS val FROM c0 JOIN v USING (vec_id))"""]
     for i in range(rounds + 1):
         steps.append(f"""a{i} AS (SELECT vec_id, arg_min(c, dist * 1000 + c::HUGEINT) AS c, min(dist) AS dist FROM
