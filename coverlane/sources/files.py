@@ -11,13 +11,15 @@ LINE_SCHEMA = "delivery_tag long, attempt int, body string"
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Even out a scan before costly per-row work, where most cores would stay idle.
+    """Even out a scan before costly per-row work.
 
-    That is so for a few splits only, thus for little data. A larger input is left as it
-    is, without a shuffle.
+    Splits say nothing about rows: a Parquet row group is read whole by one of them, however
+    many splits its file has, so a small file of many rows is one task's work. Rows are dealt
+    out evenly: one task a core where there are few splits, thus little data, else four or
+    more. Columns that are not read later don't take part.
     """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() * 4 <= cores else rows
+    cores, splits = rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()
+    return rows.repartition(cores if splits * 4 <= cores else max(4 * cores, splits))
 
 
 def message_files(spark: SparkSession, path: str) -> DataFrame:
