@@ -45,6 +45,7 @@ NOISE = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 HREF = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 TEXT = "#text"
 HIDDEN_CLASS = "hide"
+PAGES_AT_ONCE = 64
 
 ELEMENT_TYPE = T.ArrayType(T.StructType([
     T.StructField("idx", T.IntegerType()), T.StructField("last", T.IntegerType()), T.StructField("up", T.IntegerType()), T.StructField("tag", T.StringType()),
@@ -150,8 +151,7 @@ class _Flattener(HTMLParser):
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)
 
 
-@F.arrow_udf(ELEMENT_TYPE)
-def _elements(pages: pa.Array) -> pa.Array:
+def _parsed(pages: pa.Array) -> pa.Array:
     flat, ends = _Flattener(), []
     for page in pages.to_pylist():
         start = len(flat.tags)
@@ -159,6 +159,12 @@ def _elements(pages: pa.Array) -> pa.Array:
     return flat.arrow([*ends, len(flat.tags)])
 
 
+@F.arrow_udf(ELEMENT_TYPE)
+def _elements(pages: pa.Array) -> pa.Array:
+    """Few pages at a time: their elements as Python objects take many times what Arrow needs."""
+    return pa.concat_arrays([_parsed(pages.slice(at, PAGES_AT_ONCE)) for at in range(0, max(1, len(pages)), PAGES_AT_ONCE)])
+
+
 def _test(compound: str):
     """A Python predicate for one compound selector, on (tag, attributes)."""
     tests, at = [], 0
