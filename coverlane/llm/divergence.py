@@ -34,7 +34,7 @@ import math
 import pickle
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pandas as pd
@@ -80,6 +80,8 @@ ROUND_BYTES = 256 << 20
 CELLS = 1 << 24
 #: Entries of the per-task tables of counted or looked-up terms before they are handed on or emptied.
 CACHE = 1 << 20
+#: Rows that a task hands on at a time.
+OUT_ROWS = 1 << 15
 #: Places per key at each level of the perfect hash.
 GAMMA = 2.0
 
@@ -190,12 +192,12 @@ def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS, cells: int = None) ->
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
 
-        def out():
-            keys = list(held)
-            batch = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1].decode() for k in keys], pa.string()),
-                                                pa.array(list(held.values()), pa.int64())], names=["lang", "term", "docs"])
+        def out() -> Iterator[pa.RecordBatch]:
+            counted = iter(held.items())
+            while some := list(islice(counted, OUT_ROWS)):
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in some], pa.string()), pa.array([k[1].decode() for k, _ in some], pa.string()),
+                                                  pa.array([n for _, n in some], pa.int64())], names=["lang", "term", "docs"])
             held.clear()
-            return batch
 
         for b in batches:
             found = [terms_of(text) for text in b.column("text").to_pylist()]
@@ -208,9 +210,9 @@ def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS, cells: int = None) ->
                 df = np.bincount(distinct, minlength=len(uniques))
                 held.update(dict(zip(zip(repeat(lang), uniques), df.tolist())))
             if len(held) > CACHE:
-                yield out()
+                yield from out()
         if held:
-            yield out()
+            yield from out()
 
     partial = docs.select("lang", "text").mapInArrow(count, "lang string, term string, docs long")
     return partial.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).select("lang", "term")
@@ -290,37 +292,29 @@ def _counter(shared, shards: int, cells: int):
             built = pickle.loads(blob)
             lookups[shard] = Lookup(built, total)
             total += len(built["keys"])
-        names = [None] * total
-        for lk in lookups.values():
-            names[lk.offset:lk.offset + len(lk.keys)] = lk.keys
         # slots of each language numbered from 0, so that a group's dense array holds its language only
-        split = [k.rsplit("\x00", 1) for k in names]
         local = np.zeros(total, np.int64)
         words: dict[str, list[str]] = {}
-        for s, (lang, term) in enumerate(split):
-            mine = words.setdefault(lang, [])
-            local[s] = len(mine)
-            mine.append(term)
-        del split
+        for lk in lookups.values():
+            for s, key in enumerate(lk.keys, lk.offset):
+                lang, term = key.rsplit("\x00", 1)
+                mine = words.setdefault(lang, [])
+                local[s] = len(mine)
+                mine.append(term)
         stride = max((len(w) for w in words.values()), default=1)
         dense: dict[tuple[str, str], np.ndarray] = {}
         known: dict[str, dict[str, int]] = {}
         seen = added = held = 0
 
-        def flush():
-            langs, sources, terms, counts = [], [], [], []
+        def flush() -> Iterator[pa.RecordBatch]:
             for (lang, source), arr in dense.items():
-                nz = np.flatnonzero(arr)
-                langs += [lang] * len(nz)
-                sources += [source] * len(nz)
-                own = words[lang]
-                terms += [own[s] for s in nz]
-                counts.append(arr[nz].astype(np.int64))
+                own, nz = words[lang], np.flatnonzero(arr)
+                for at in range(0, len(nz), OUT_ROWS):
+                    some = nz[at : at + OUT_ROWS]
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array([source] * len(some), pa.string()),
+                                                      pa.array([own[s] for s in some.tolist()], pa.string()), pa.array(arr[some].astype(np.int64))],
+                                                     names=["lang", "source", "term", "count"])
             dense.clear()
-            c = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(sources, pa.string()),
-                                               pa.array(terms, pa.string()), pa.array(c, pa.int64())],
-                                              names=["lang", "source", "term", "count"])
 
         if total == 0:
             return
@@ -367,13 +361,13 @@ def _counter(shared, shards: int, cells: int):
                 if group not in dense:
                     size = len(words[group[0]])
                     if dense and (held + size > cells or added >= 2**31 - 1):
-                        yield flush()
+                        yield from flush()
                         added = held = 0
                     dense[group] = np.zeros(size, np.int32)
                     held += size
                 dense[group][joint[lo:hi] - g * stride] += counts[lo:hi].astype(np.int32)
         if dense:
-            yield flush()
+            yield from flush()
 
     return run
 

@@ -68,3 +68,21 @@ def test_byte_table_gives_the_matches_of_the_pattern():
         text = "".join(r.choice(alphabet) for _ in range(r.randint(0, 60)))
         lowered = text.translate(str.maketrans(divergence.UPPER, divergence.LOWER))
         assert [t.decode() for t in divergence.terms_of(text.encode())] == pattern.findall(lowered)
+
+
+def test_counts_are_handed_on_in_small_batches(monkeypatch):
+    """A task's counts leave it a few rows at a time, all of them, also with more terms than one batch takes."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(divergence, "OUT_ROWS", 100)
+    words = ["".join(chr(97 + i // 26 ** k % 26) for k in range(3)) for i in range(1000)]
+    built = divergence.build([divergence._key("en", w) for w in words])
+
+    class Shared:
+        value = {0: divergence.pickle.dumps(built)}
+
+    texts = [" ".join(words[:700]).encode(), " ".join(words[300:]).encode()]
+    batch = pa.RecordBatch.from_pydict({"lang": ["en", "en"], "source": ["a", "a"], "text": texts})
+    out = list(divergence._counter(Shared, 1, 1 << 20)(iter([batch])))
+    assert len(out) == 10 and max(b.num_rows for b in out) == 100
+    assert {r["term"]: r["count"] for b in out for r in b.to_pylist()} == {w: 1 + (300 <= i < 700) for i, w in enumerate(words)}
