@@ -4,7 +4,7 @@ Two ways in. Titles, links and tag counts use JVM string functions only. Everyth
 that needs the element tree (selectors, tables, form fields) goes through
 ``elements``: a small Arrow-batched parser that turns a page into a flat list of
 elements. Selecting, pairing and counting over that list are plain expressions on the
-same row, so no page is ever shuffled.
+same row, so no parsed page is ever shuffled.
 """
 
 from __future__ import annotations
