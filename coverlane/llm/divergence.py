@@ -34,7 +34,7 @@ import math
 import pickle
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, islice, repeat
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -80,8 +80,9 @@ ROUND_BYTES = 256 << 20
 CELLS = 1 << 24
 #: Entries of the per-task tables of counted or looked-up terms before they are handed on or emptied.
 CACHE = 1 << 20
-#: Rows that a task hands on at a time.
+#: Rows that a task hands on at a time, and documents whose terms it splits at a time.
 OUT_ROWS = 1 << 15
+DOCS = 200
 #: Places per key at each level of the perfect hash.
 GAMMA = 2.0
 
@@ -190,16 +191,17 @@ def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS, cells: int = None) ->
     cells = cells or CELLS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held: dict[str, Counter] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
-            counted = iter(held.items())
-            while some := list(islice(counted, OUT_ROWS)):
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in some], pa.string()), pa.array([k[1].decode() for k, _ in some], pa.string()),
-                                                  pa.array([n for _, n in some], pa.int64())], names=["lang", "term", "docs"])
+            for lang, counts in held.items():
+                counted = iter(counts.items())
+                while some := list(islice(counted, OUT_ROWS)):
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array([t.decode() for t, _ in some], pa.string()),
+                                                      pa.array([n for _, n in some], pa.int64())], names=["lang", "term", "docs"])
             held.clear()
 
-        for b in batches:
+        for b in _few(batches):
             found = [terms_of(text) for text in b.column("text").to_pylist()]
             for lang, docs in _by_lang(b.column("lang").to_pylist()).items():
                 codes, uniques, lengths = _factorized(found, docs)
@@ -208,8 +210,8 @@ def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS, cells: int = None) ->
                 doc_of = np.repeat(np.arange(len(docs), dtype=np.int64), lengths)
                 distinct = np.unique(doc_of * len(uniques) + codes) % len(uniques)
                 df = np.bincount(distinct, minlength=len(uniques))
-                held.update(dict(zip(zip(repeat(lang), uniques), df.tolist())))
-            if len(held) > CACHE:
+                held.setdefault(lang, Counter()).update(dict(zip(uniques, df.tolist())))
+            if sum(map(len, held.values())) > CACHE:
                 yield from out()
         if held:
             yield from out()
@@ -269,6 +271,13 @@ def recount(docs: DataFrame, hashed: DataFrame, shards: int, round_bytes: int =
     return out.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"))
 
 
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, at most ``DOCS`` at a time: their terms are objects on their own for that long."""
+    for b in batches:
+        for at in range(0, b.num_rows, DOCS):
+            yield b.slice(at, DOCS)
+
+
 def _by_lang(langs: list[str]) -> dict[str, np.ndarray]:
     """Row numbers of each language in a batch."""
     rows: dict[str, list[int]] = {}
@@ -318,7 +327,7 @@ def _counter(shared, shards: int, cells: int):
 
         if total == 0:
             return
-        for b in batches:
+        for b in _few(batches):
             langs, sources = b.column("lang").to_pylist(), b.column("source").to_pylist()
             found = [terms_of(text) for text in b.column("text").to_pylist()]
             # per language of the batch: its terms factorized, only distinct ones looked up, new ones

@@ -86,3 +86,21 @@ def test_counts_are_handed_on_in_small_batches(monkeypatch):
     out = list(divergence._counter(Shared, 1, 1 << 20)(iter([batch])))
     assert len(out) == 10 and max(b.num_rows for b in out) == 100
     assert {r["term"]: r["count"] for b in out for r in b.to_pylist()} == {w: 1 + (300 <= i < 700) for i, w in enumerate(words)}
+
+
+def test_terms_are_split_a_few_documents_at_a_time(monkeypatch):
+    """However many documents a batch has, only a few at a time are held as terms; the counts are those of all."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(divergence, "DOCS", 3)
+    held, real = [], divergence._factorized
+    monkeypatch.setattr(divergence, "_factorized", lambda found, docs: held.append(len(found)) or real(found, docs))
+    built = divergence.build([divergence._key(lang, "word") for lang in "ab"])
+
+    class Shared:
+        value = {0: divergence.pickle.dumps(built)}
+
+    batch = pa.RecordBatch.from_pydict({"lang": ["a", "b"] * 10, "source": ["s"] * 20, "text": [b"word other Word"] * 20})
+    out = [r for b in divergence._counter(Shared, 1, 1 << 20)(iter([batch])) for r in b.to_pylist()]
+    assert sorted((r["lang"], r["term"], r["count"]) for r in out) == [("a", "word", 20), ("b", "word", 20)]
+    assert max(held) <= 3
