@@ -14,6 +14,7 @@ from __future__ import annotations
 import heapq
 import itertools
 import math
+import operator
 import re
 from array import array
 from collections.abc import Iterator
@@ -57,6 +58,13 @@ class Lattice:
                 self.pieces.setdefault(text[:k], ())  # a beginning only
             self.pieces[text] = (score(scores[i]), i)
         self.pairs = frozenset(a + b for a, b in pairs)
+        # the pieces by characters: score, id (-1: a beginning only) and what may follow
+        self.follow: dict[str, tuple] = {}
+        for text, found in sorted(self.pieces.items()):
+            level = self.follow
+            for c in text[:-1]:
+                level = level[c][2]
+            level[text[-1]] = (*(found or (0.0, -1)), {})
         self.unknown = min(p[0] for p in self.pieces.values() if p) - 10
         self.byte = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.n, self.most = n, most
@@ -118,31 +126,34 @@ class Lattice:
         loss is the least one among the places of the best segmentation, where each is that
         of the second best way from there to the end.
         """
-        pieces, size, low = self.pieces.get, len(text), -math.inf
-        rest, loss, way = [0.0] * (size + 1), [0.0] * size, [None] * size
+        size, low = len(text), -math.inf
+        rest, loss, ends, ways = [0.0] * (size + 1), [0.0] * size, [0] * size, [0] * size
         for i in range(size - 1, -1, -1):
-            first = second = low
-            for j in range(i + 1, size + 1):
-                found = pieces(text[i:j])
-                if found:
-                    value = found[0] + rest[j]
+            first, second, end, way = low, low, i + 1, -1 - i
+            level, j = self.follow, i
+            for c in text[i:]:
+                found = level.get(c)
+                if found is None:
+                    break
+                j += 1
+                score, piece, level = found
+                if piece >= 0:
+                    value = score + rest[j]
                     if value > first:
-                        first, second, way[i] = value, first, (j, found[1])
+                        first, second, end, way = value, first, j, piece
                     elif value > second:
                         second = value
                 elif j == i + 1:
-                    first, way[i] = self.unknown + rest[j], (j, -1 - i)
-                    if found is None:
-                        break
-                elif found is None:
-                    break
-            rest[i], loss[i] = first, first - second
+                    first = self.unknown + rest[j]
+            if j == i:
+                first = self.unknown + rest[i + 1]
+            rest[i], loss[i], ends[i], ways[i] = first, first - second, end, way
         ids, at, least = [], 0, math.inf
         while at < size:
             if loss[at] < least:
                 least = loss[at]
-            at, piece = way[at]
-            ids.append(piece)
+            ids.append(ways[at])
+            at = ends[at]
         if min(ids) < 0:
             ids = [x for p in ids for x in ((p,) if p >= 0 else [self.byte[b] for b in text[-1 - p].encode("utf-8", "surrogatepass")])]
         return rest[0], least, ids
@@ -168,10 +179,11 @@ class Lattice:
 
     def _word(self, word: str) -> bytes:
         at, out = 0, array("i")
-        for i in range(1, len(word)):
-            if word[i - 1 : i + 1] not in self.pairs:
-                out.append(self._segment(word[at:i]))
-                at = i
+        whole = list(map(self.pairs.__contains__, map(operator.concat, word, word[1:])))
+        for _ in range(whole.count(False)):
+            i = whole.index(False, at) + 1
+            out.append(self._segment(word[at:i]))
+            at = i
         out.append(self._segment(word[at:]))
         return out.tobytes()
 
@@ -196,6 +208,8 @@ class Lattice:
         # with n - 1 places of smallest loss at hand, no other place is in the n best
         places = sorted(np.argsort(first, kind="stable")[:few].tolist()) if len(first) < 64 else sorted(self._smallest(first, few))
         choices = [self._ranks(numbers[p]) for p in places]
+        # what stands in the best one before, between and after these places
+        between = [b"".join(codes[i:j]) for i, j in zip([0, *(p + 1 for p in places)], [*places, len(codes)], strict=True)]
         agenda, seen = [], set()
 
         def push(ranks: tuple[int, ...]) -> None:
@@ -207,10 +221,8 @@ class Lattice:
         while agenda:
             total, ranks = heapq.heappop(agenda)
             if any(ranks):
-                other = list(codes)
-                for p, r, c in zip(places, ranks, choices, strict=True):
-                    other[p] = c[r][1]
-                out.append((best - total, b"".join(other)))
+                changed = [c[r][1] for r, c in zip(ranks, choices, strict=True)]
+                out.append((best - total, b"".join(itertools.chain.from_iterable(zip(between, [*changed, b""], strict=True)))))
                 if len(out) == self.n:
                     break
             for k in range(few):

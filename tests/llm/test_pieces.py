@@ -76,3 +76,23 @@ def test_query_round_trips(spark):
 
     out = QUERIES["op9_sentencepiece"](spark, "/root/testdata/sf0.01").toPandas()
     assert len(out) == 1000 and out.round_trip.all() and all(list(s) == sorted(s, reverse=True) for s in out.scores)
+
+
+def test_pieces_by_characters_hold_every_piece_and_no_other():
+    found, todo = {}, [("", LATTICE.follow)]
+    while todo:
+        text, level = todo.pop()
+        for c, (score, piece, more) in level.items():
+            found[text + c] = (score, piece) if piece >= 0 else ()
+            todo.append((text + c, more))
+    assert found == LATTICE.pieces
+
+
+def test_best_way_and_its_loss_match_the_search():
+    r = random.Random(6)
+    for _ in range(300):
+        text = "".join(r.choice(" theingofx,.é漢\n") for _ in range(r.randrange(1, 14)))
+        best, loss, ids = LATTICE._best(text)
+        found = LATTICE.search(text)
+        assert np.isclose(best, found[0][0]) and len(ids) >= 1
+        assert len(found) == 1 or np.isclose(loss, found[0][0] - found[1][0])
