@@ -3,8 +3,9 @@
 Pieces that fit a text form a lattice. A forward Viterbi pass gives the best score from the
 start to every place; searched backward from the end, these scores are exact heuristics, so
 A* takes segmentations off its agenda best first. No piece spans two characters that are
-neighbours in no piece, so the lattice is cut there into segments, which repeat. Best scores
-give each segment's best segmentation and how much its second best loses;
+neighbours in no piece, so the lattice is cut there into segments, which repeat. Best scores,
+worked out for the new segments of many texts at once, give each segment's best segmentation
+and how much its second best loses;
 the best segmentations of a text differ only at the few places of smallest loss, so A* runs
 at these, and their combinations are taken best first.
 """
@@ -14,12 +15,12 @@ from __future__ import annotations
 import heapq
 import itertools
 import math
-import operator
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +40,9 @@ class Lattice:
     UTF-8 bytes, at a score below that of every piece.
     """
 
+    #: Longest segment that is searched together with others, and characters of words or segments worked on together.
+    short, block = 64, 1 << 16
+
     def __init__(self, model: bytes, n: int, most: int = 400_000):
         from sentencepiece import SentencePieceProcessor
 
@@ -57,7 +61,6 @@ class Lattice:
             for k in range(1, len(text)):
                 self.pieces.setdefault(text[:k], ())  # a beginning only
             self.pieces[text] = (score(scores[i]), i)
-        self.pairs = frozenset(a + b for a, b in pairs)
         # the pieces by characters: score, id (-1: a beginning only) and what may follow
         self.follow: dict[str, tuple] = {}
         for text, found in sorted(self.pieces.items()):
@@ -66,17 +69,30 @@ class Lattice:
                 level = level[c][2]
             level[text[-1]] = (*(found or (0.0, -1)), {})
         self.unknown = min(p[0] for p in self.pieces.values() if p) - 10
+        # the same for many segments at once: characters and beginnings by number (0: none), and the
+        # next beginning by beginning and character
+        chars = sorted({c for text in self.pieces for c in text})
+        self.kind, self.kinds = np.zeros(0x110000, np.int32), len(chars) + 1
+        self.kind[list(map(ord, chars))] = np.arange(1, self.kinds)
+        kind, node = {c: k for k, c in enumerate(chars, 1)}, {"": 0}
+        for k, text in enumerate(self.pieces, 1):
+            node[text] = k
+        self.longest = max(map(len, self.pieces))
+        self.steps = pd.Index(np.array([node[text[:-1]] * self.kinds + kind[text[-1]] for text in self.pieces], np.int64))
+        self.joint = pd.Index(np.array([kind[a] * self.kinds + kind[b] for a, b in pairs], np.int64))
+        self.node_score = np.array([-math.inf, *(found[0] if found else -math.inf for found in self.pieces.values())])
+        self.node_piece = np.array([-1, *(found[1] if found else -1 for found in self.pieces.values())], np.int64)
         self.byte = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.n, self.most = n, most
         # Only if nothing but a space can be followed by a space may texts be cut before spaces first.
-        spaced = all(b != " " or a == " " for a, b in pairs) and not any("\n" in p for p in self.pairs)
+        spaced = all(b != " " or a == " " for a, b in pairs) and not any("\n" in p for p in pairs)
         self.word = re.compile(r" +[^ \n]*|[^ \n]+|\n" if spaced else r"(?s).+")
         self.clear()
 
     def clear(self) -> None:
         self.words: dict[str, bytes] = {}
         self.number: dict[str, int] = {}
-        self.best, self.gap, self.ids, self.texts = array("d"), array("d"), [], []
+        self.best, self.gap, self.sizes, self.ids, self.texts = array("d"), array("d"), array("q"), [], []
         self.ranked: dict[int, list[tuple[float, bytes]]] = {}
 
     def search(self, text: str) -> list[tuple[float, list[int]]]:
@@ -158,16 +174,92 @@ class Lattice:
             ids = [x for p in ids for x in ((p,) if p >= 0 else [self.byte[b] for b in text[-1 - p].encode("utf-8", "surrogatepass")])]
         return rest[0], least, ids
 
-    def _segment(self, text: str) -> int:
-        number = self.number.get(text)
-        if number is None:
-            best, gap, ids = self._best(text)
-            number = self.number[text] = len(self.ids)
-            self.best.append(best)
-            self.gap.append(gap)
-            self.ids.append(array("I", ids).tobytes())
-            self.texts.append(text)
-        return number
+    def _best_of_all(self, kinds: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+        """``_best`` of many short segments at once, and which of them hold a character without a piece.
+
+        ``kinds`` are the characters' numbers. The segments, longest first, are columns, the
+        places with ``d`` characters to the end are row ``d``. The ids of the odd ones are wrong.
+        """
+        order = np.argsort(starts - ends, kind="stable")
+        ends, sizes = ends[order], (ends - starts)[order]
+        deep = int(sizes[0])
+        wide = np.searchsorted(-sizes, -np.arange(deep + 1), side="right")  # columns of each row
+        row = np.concatenate([[0], np.cumsum(wide)])
+        places = np.concatenate([ends[:w] - d for d, w in enumerate(wide.tolist())])
+        # the pieces from each place on, by length; a single character always has a score
+        alive = np.arange(row[1], len(places))
+        at, node = places[alive], np.zeros(len(alive), np.int64)
+        scores, nodes = np.full((min(deep, self.longest), len(places)), -np.inf), np.zeros((min(deep, self.longest), len(places)), np.int32)
+        for k in range(len(scores)):
+            node = self.steps.get_indexer(node * self.kinds + kinds[at]) + 1
+            found = np.flatnonzero(node)
+            alive, at, node = alive[found], at[found] + 1, node[found]
+            scores[k, alive], nodes[k, alive] = self.node_score[node], node
+        scores[0][self.node_piece[nodes[0]] < 0] = self.unknown
+        rest, loss = np.zeros(len(places)), np.zeros(len(places))
+        step, way = np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
+        for d in range(1, deep + 1):
+            here, w = slice(row[d], row[d + 1]), int(wide[d])
+            values = scores[:d, here].copy()
+            for k in range(len(values)):
+                values[k] += rest[row[d - k - 1] : row[d - k - 1] + w]
+            columns, first = np.arange(w), values.argmax(0)  # of equal ones the shortest piece
+            rest[here] = values[first, columns]
+            values[first, columns] = -np.inf
+            loss[here] = rest[here] - values.max(0)
+            step[here], way[here] = first + 1, self.node_piece[nodes[first, row[d] + columns]]
+        best, least = np.empty(len(order)), np.full(len(order), np.inf)
+        best[order] = rest[row[sizes] + np.arange(len(order))]
+        # from the start of all segments along their best ways
+        column, left, passed, taken = np.arange(len(order)), sizes, [], []
+        while len(column):
+            at = row[left] + column
+            least[order[column]] = np.minimum(least[order[column]], loss[at])
+            passed.append(order[column])
+            taken.append(way[at])
+            left = left - step[at]
+            column, left = column[left > 0], left[left > 0]
+        counts = np.bincount(np.concatenate(passed), minlength=len(order))
+        bounds = np.concatenate([[0], np.cumsum(counts)])
+        ids, odd = np.empty(bounds[-1], np.int64), np.zeros(len(order), bool)
+        for k, (segments, pieces) in enumerate(zip(passed, taken, strict=True)):
+            ids[bounds[segments] + k] = pieces
+            odd[segments[pieces < 0]] = True
+        code, bounds = ids.astype("<u4").tobytes(), (bounds * 4).tolist()
+        return best, least, [code[i:j] for i, j in itertools.pairwise(bounds)], odd
+
+    def _learn(self, words: list[str]) -> None:
+        """Cuts new words into segments and finds the best way through the new ones, all at once."""
+        text = "\0".join([*words, ""])
+        breaks = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        kinds = self.kind[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
+        kinds[breaks] = 0
+        inside, cut = np.ones(len(kinds), bool), np.ones(len(kinds) + 1, bool)
+        inside[breaks] = False
+        cut[1:-1] = self.joint.get_indexer(kinds[:-1] * self.kinds + kinds[1:]) < 0
+        starts, ends = np.flatnonzero(cut[:-1] & inside), np.flatnonzero(cut[1:] & inside) + 1
+        known, number = len(self.ids), self.number
+        found = np.array([number.setdefault(text[i:j], len(number)) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)], np.int32)
+        new = np.flatnonzero(found > np.maximum.accumulate(np.concatenate([[known - 1], found[:-1]])))
+        starts_new, ends_new, texts = starts[new], ends[new], list(itertools.islice(number, known, None))
+        best, gap, ids = np.zeros(len(new)), np.zeros(len(new)), [b""] * len(new)
+        odd = ends_new - starts_new > self.short
+        short = np.flatnonzero(~odd)
+        groups = np.cumsum((ends_new - starts_new)[short]) // self.block
+        for part in np.split(short, np.flatnonzero(np.diff(groups)) + 1) if len(short) else ():
+            best[part], gap[part], codes, odd[part] = self._best_of_all(kinds, starts_new[part], ends_new[part])
+            for k, code in zip(part.tolist(), codes, strict=True):
+                ids[k] = code
+        for k in np.flatnonzero(odd).tolist():
+            best[k], gap[k], way = self._best(texts[k])
+            ids[k] = array("I", way).tobytes()
+        self.best.frombytes(best.tobytes())
+        self.gap.frombytes(gap.tobytes())
+        self.sizes.extend(map(len, ids))
+        self.ids += ids
+        self.texts += texts
+        code, bounds = found.tobytes(), (np.searchsorted(starts, breaks) * 4).tolist()
+        self.words.update(zip(words, (code[i:j] for i, j in itertools.pairwise([0, *bounds])), strict=True))
 
     def _ranks(self, number: int) -> list[tuple[float, bytes]]:
         """The ``n`` best of a segment: loss and ids, the best one as stored first."""
@@ -177,25 +269,35 @@ class Lattice:
             self.ranked[number] = [(0.0, self.ids[number]), *others][: self.n]
         return self.ranked[number]
 
-    def _word(self, word: str) -> bytes:
-        at, out = 0, array("i")
-        whole = list(map(self.pairs.__contains__, map(operator.concat, word, word[1:])))
-        for _ in range(whole.count(False)):
-            i = whole.index(False, at) + 1
-            out.append(self._segment(word[at:i]))
-            at = i
-        out.append(self._segment(word[at:]))
-        return out.tobytes()
-
     def encode(self, text: str) -> list[tuple[float, bytes]]:
         """The ``n`` best segmentations of a whole text: scores and ids (little-endian unsigned 32 bit)."""
-        if not text:
-            return [(0.0, b"")]
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: Iterable[str | None], size: int = 1 << 19) -> Iterator[list[tuple[float, bytes]] | None]:
+        """``encode`` of each text, none for none. New words are learnt from about ``size`` characters of texts at a time."""
+        held, total = [], 0
+        for text in texts:
+            held.append(text)
+            total += len(text or "")
+            if total >= size:
+                yield from self._encode_some(held)
+                held, total = [], 0
+        yield from self._encode_some(held)
+
+    def _encode_some(self, texts: list[str | None]) -> Iterator[list[tuple[float, bytes]] | None]:
         if len(self.words) > self.most:
             self.clear()
-        words = self.word.findall(" " + text)
-        for word in set(words).difference(self.words):
-            self.words[word] = self._word(word)
+        cut = [self.word.findall(" " + text) if text else [] for text in texts]
+        new = list(set().union(*cut).difference(self.words))
+        ends = np.cumsum(np.fromiter(map(len, new), np.int64, len(new)))
+        blocks = np.searchsorted(ends, np.arange(0, ends[-1], self.block)).tolist() if new else []
+        for i, j in itertools.pairwise([*blocks, len(new)]):
+            if i < j:
+                self._learn(new[i:j])
+        for text, words in zip(texts, cut, strict=True):
+            yield self._encode(words) if text else None if text is None else [(0.0, b"")]
+
+    def _encode(self, words: list[str]) -> list[tuple[float, bytes]]:
         segments = np.frombuffer(b"".join(map(self.words.__getitem__, words)), np.int32)
         best = float(np.frombuffer(self.best, np.float64)[segments].sum())
         numbers = segments.tolist()
@@ -209,7 +311,9 @@ class Lattice:
         places = sorted(np.argsort(first, kind="stable")[:few].tolist()) if len(first) < 64 else sorted(self._smallest(first, few))
         choices = [self._ranks(numbers[p]) for p in places]
         # what stands in the best one before, between and after these places
-        between = [b"".join(codes[i:j]) for i, j in zip([0, *(p + 1 for p in places)], [*places, len(codes)], strict=True)]
+        ends = np.cumsum(np.frombuffer(self.sizes, np.int64)[segments])[places].tolist()
+        starts = [end - len(codes[p]) for end, p in zip(ends, places, strict=True)]
+        between = [out[0][1][i:j] for i, j in zip([0, *ends], [*starts, None], strict=True)]
         agenda, seen = [], set()
 
         def push(ranks: tuple[int, ...]) -> None:
@@ -262,9 +366,8 @@ def encode(docs: DataFrame, model: bytes, n: int = 3, out_bytes: int = 8 << 20)
         lattice = Lattice(shared.value, n)
         for batch in batches:
             start, held, size = 0, [], 0
-            for k, text in enumerate(batch.column(at), 1):
-                text = text.as_py()
-                held.append(None if text is None else [{"score": s, "ids": i} for s, i in lattice.encode(text)])
+            for k, found in enumerate(lattice.encode_all(text.as_py() for text in batch.column(at)), 1):
+                held.append(None if found is None else [{"score": s, "ids": i} for s, i in found])
                 size += sum(len(x["ids"]) for x in held[-1] or ())
                 if size > out_bytes or k == batch.num_rows:
                     yield _with_columns(batch.slice(start, k - start), segmentations=pa.array(held, _ARROW))

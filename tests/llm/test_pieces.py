@@ -1,6 +1,7 @@
 """Segmentations against plain enumeration, whole-text search and the library's decoder; odd rows."""
 
 import random
+from array import array
 
 import numpy as np
 import public_tokenizers
@@ -96,3 +97,37 @@ def test_best_way_and_its_loss_match_the_search():
         found = LATTICE.search(text)
         assert np.isclose(best, found[0][0]) and len(ids) >= 1
         assert len(found) == 1 or np.isclose(loss, found[0][0] - found[1][0])
+
+
+def odd_texts(seed):
+    r = random.Random(seed)
+    mixed = ["".join(r.choice(["the ", "qzx", "ing", "of.", " ", "\n", "\0", "é,", "漢", "😀", "".join(r.choices("aeinrst", k=7))]) for _ in range(r.randrange(40))) for _ in range(200)]
+    return ["", None, "a" * 300 + " b", *mixed, "\0", "same same", "same same", "".join(r.choices("漢字aeinst.,", k=3000)), "e" * 64, "e" * 65]
+
+
+@pytest.mark.parametrize(("block", "size"), [(1, 1), (50, 300), (1 << 16, 1 << 19)])
+def test_segments_found_together_match_those_searched_one_by_one(block, size):
+    lattice = pieces.Lattice(MODEL, 3)
+    lattice.block = block
+    texts = odd_texts(9)
+    found = list(lattice.encode_all(texts, size))
+    assert found == [None if t is None else pieces.Lattice.encode(lattice, t) for t in texts]
+    assert len(lattice.number) == len(lattice.ids) == len(lattice.texts) > 100
+    for text, k in lattice.number.items():
+        best, loss, ids = lattice._best(text)
+        assert (lattice.texts[k], lattice.best[k], lattice.gap[k], lattice.ids[k]) == (text, best, loss, array("I", ids).tobytes())
+
+
+def test_texts_with_full_stores_keep_their_results():
+    small, large = pieces.Lattice(MODEL, 3, most=2), pieces.Lattice(MODEL, 3)
+    assert list(small.encode_all(odd_texts(4), 100)) == list(large.encode_all(odd_texts(4)))
+
+
+def test_new_words_are_not_searched_one_at_a_time(monkeypatch):
+    r, calls, lattice = random.Random(2), [], pieces.Lattice(MODEL, 2)
+    texts = [" ".join("".join(r.choices("abcdefghij", k=9)) for _ in range(100)) for _ in range(20)]
+    best = lattice._best
+    monkeypatch.setattr(lattice, "_best", lambda text: calls.append(text) or best(text))
+    for text in texts:
+        lattice.encode(text)
+    assert len(lattice.words) > 1000 and not calls
